@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode
+from .common import cut
 
 #: Lengths that share one span of the two-level sums.
 SPAN = 1024
@@ -29,7 +30,8 @@ def histogram(rows: DataFrame, n: str = "n_tokens") -> DataFrame:
 
     truncated_total: tokens kept if every document is cut to this length. A null length is no row.
     """
-    by = rows.where(F.col(n).isNotNull()).groupBy(F.col(n).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs"))
+    # Written, as the sums read it twice: the documents are encoded once.
+    by = cut(rows.where(F.col(n).isNotNull()).groupBy(F.col(n).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("docs")), "lengths")
     by = by.withColumns({"_span": F.floor(F.col("n_tokens") / SPAN), "_tokens": F.col("n_tokens") * F.col("docs")})
     # Few rows: one for each span that holds a length.
     spans = by.groupBy("_span").agg(F.sum("docs").alias("_d"), F.sum("_tokens").alias("_t"))
