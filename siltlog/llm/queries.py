@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets, shards, token_counts, url_filters
+from . import bpe, decontaminate, quality, secrets, shards, simhash, token_counts, url_filters
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
 def listed(spans: Column) -> Column:
     """Spans as kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_shards": op7_shards,
+    "op8_simhash": op8_simhash,
     "op10_secrets": op10_secrets,
 }
 
