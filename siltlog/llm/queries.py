@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets, shards, simhash, token_counts, url_filters
+from . import bpe, decontaminate, quality, secrets, shards, simhash, substrings, token_counts, url_filters
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = bpe.encode(docs, vocabulary(), keep=["doc_id"], with_decoded="decoded")
@@ -66,6 +71,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_substrings": op2_substrings,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
