@@ -92,7 +92,9 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None)
     """``docs`` with the measures, base_failed, and kept: false if a base rule or one of ``rules`` fails."""
     base = reduce(Column.__and__, [r.holds() for r in BASE])
     own = reduce(Column.__and__, [r.holds() for r in (RULES if rules is None else rules)], F.lit(True))
-    return measures(docs, text).withColumns({"base_failed": ~base, "kept": base & own})
+    # A filter on the verdict would be pushed below and compute the arrays anew for each element;
+    # rand() >= 0 is always true, and keeps it above.
+    return measures(docs, text).withColumns({"base_failed": ~base, "kept": base & own & (F.rand(0) >= 0)})
 
 
 def oracle(rules: list[Rule] | None = None) -> str:

@@ -39,20 +39,26 @@ def loads(df: DataFrame, shards: int) -> list[int]:
     return [held.get(i, 0) for i in range(shards)]
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int, slack: float) -> DataFrame:
-    """``rows`` with ``_label`` moved towards the labels of their groups, sizes within 1 + slack of even."""
-    now = loads(rows, shards)
-    cap = max(now, default=0) if not now else int(sum(now) / shards * (1 + slack)) + 1
+def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
+    """``rows`` with ``_label`` moved towards the labels of their groups.
+
+    Linked rows alone count for the quota of a shard: unlinked ones can give way to them later. A
+    group that no shard can hold is drawn to as many shards as hold it.
+    """
+    cap = max(1, sum(loads(rows, shards)) // shards)
+    now = loads(rows.where("_linked"), shards)
     for r in range(rounds):
         room = [max(0, cap - n) for n in now]
         linked = rows.where("_linked")
-        counts = linked.groupBy(*GROUP).agg(F.array(*(F.count(F.when(F.col("_label") == i, 1)) for i in range(shards))).alias("_c"))
+        counts = linked.groupBy(*GROUP).agg(F.array(*(F.count(F.when(F.col("_label") == i, 1)) for i in range(shards))).alias("_c"), F.count(F.lit(1)).alias("_n"))
         c = F.col("_c")
         # Ties are broken by a hash of group and label, alike for all of a group: none swap sides.
         of = lambda n, i: F.struct(n.alias("n"), F.xxhash64("_h", i).alias("t"), i.alias("i"))
-        best = F.array_max(F.array(*(of(F.when(F.lit(room[i] > 0), F.get(c, F.lit(i))).otherwise(F.lit(-1)).cast("long"), F.lit(i)) for i in range(shards))))
+        ranked = F.sort_array(F.array(*(of(F.when(F.lit(room[i] > 0), F.get(c, F.lit(i))).otherwise(F.lit(-1)).cast("long"), F.lit(i)) for i in range(shards))), asc=False)
+        needed = F.least(F.ceil(F.col("_n") / cap), F.lit(shards)).cast("int")
+        best = F.get(F.col("_ranked"), F.pmod(F.xxhash64("_part", "_at"), F.col("_k")).cast("int"))
+        wish = linked.join(counts.withColumns({"_ranked": ranked, "_k": needed}), GROUP).withColumn("_best", best)
         moves = F.col("_best") > of(F.get(c, F.col("_label")), F.col("_label"))
-        wish = linked.join(counts.withColumn("_best", best), GROUP)
         wish = cut(wish.select("_part", "_at", F.when(moves, F.col("_best.i")).alias("_to")), "wishes")
         asked = {x[0]: x[1] for x in wish.where("_to IS NOT NULL").groupBy("_to").count().collect()}
         if not asked:
@@ -61,7 +67,7 @@ def propagate(rows: DataFrame, shards: int, rounds: int, slack: float) -> DataFr
         draw = F.pmod(F.xxhash64("_part", "_at", F.lit(r)), F.lit(1 << 20))
         went = wish.where(F.col("_to").isNotNull() & (draw < pick(share, F.col("_to")))).select("_part", "_at", F.col("_to").cast("int").alias("_to"))
         rows = cut(rows.join(went, ["_part", "_at"], "left").withColumn("_label", F.coalesce("_to", "_label")).drop("_to"), "labels")
-        now = loads(rows, shards)
+        now = loads(rows.where("_linked"), shards)
     return rows
 
 
@@ -89,13 +95,13 @@ def settle(rows: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("slot", slot.cast("long"))
 
 
-def assign(docs: DataFrame, shards: int = 16, rounds: int = 4, slack: float = 0.05) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs`` (doc_id, text)."""
     base = ordered(rows_of(docs), *map(F.col, GROUP), F.col("doc_id"), name="rows")
     groups = base.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*GROUP, F.lit(True).alias("_linked"))
     start = F.pmod(F.xxhash64("_part", "_at"), F.lit(shards)).cast("int")
     rows = cut(base.join(groups, GROUP, "left").withColumns({"_linked": F.coalesce("_linked", F.lit(False)), "_label": start}), "start")
-    done = settle(propagate(rows, shards, rounds, slack), shards)
+    done = settle(propagate(rows, shards, rounds), shards)
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained here in NumPy.
 
 Inputs of a word are what a word table says of it, and the mean and the greatest of what a table of
-its character four-grams says. The tables are smoothed log-odds, fitted on one part of the training
-rows; the network is trained on the windows of the other part, so that it meets words as it will
-meet those of new texts. A text is scored in windows of WIDTH words, each half over the last; its
+its character four-grams says. The tables are smoothed log-odds, fitted on the training rows; the
+network is trained on windows of each part of those rows with tables fitted on the other parts, so
+that it meets words as it will meet those of new texts. A text is scored in windows of WIDTH words, each half over the last; its
 score is the greatest of them, calibrated by a logistic fit.
 
 The training sample is bounded: SAMPLE rows of each label, the first by a hash of their ids, so that
@@ -28,6 +28,8 @@ from .common import slices
 #: Training rows of each label at the most.
 SAMPLE = 2500
 WIDTH, STRIDE, HIDDEN, ATTEND, INPUTS = 32, 16, 8, 8, 3
+#: Parts of the training rows; each meets the tables of the others.
+FOLDS = 5
 #: Binary logarithm of each table's entries.
 TABLE = 18
 STEPS, BATCH, RATE, SEED = 160, 512, 0.02, 11
@@ -187,9 +189,13 @@ class Net:
 
 
 def log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """For each table entry the log-odds of label 1 from its presence in texts, drawn to 0 where it is rare."""
-    counts = [np.bincount(np.concatenate([np.unique(i) for i, k in zip(ids, y) if k == side]).astype(np.int64), minlength=1 << TABLE) for side in (0, 1)]
-    n = [max(1, int((y == side).sum())) for side in (0, 1)]
+    """For each table entry the log-odds of label 1 from its presence in texts, drawn to 0 where it is rare.
+
+    ids: the distinct entries of each text.
+    """
+    none = np.zeros(0, np.int64)
+    counts = [np.bincount(np.concatenate([none, *(i for i, k in zip(ids, y) if k == side)]), minlength=1 << TABLE) for side in (0, 1)]
+    n = [int((y == side).sum()) for side in (0, 1)]
     odds = np.log((counts[1] + 2) / (n[1] + 4)) - np.log((counts[0] + 2) / (n[0] + 4))
     seen = counts[0] + counts[1]
     return np.clip(odds * seen / (seen + 4), -4, 4).astype(np.float32)
@@ -206,14 +212,17 @@ class Model:
             return
         rng = np.random.default_rng(SEED)
         words = [split(t) for t in texts]
-        part = rng.random(len(y)) < 0.6
-        table = [i for i in range(len(y)) if part[i] and words[i]]
-        grams = [gram_ids(sorted(set(words[i])))[0] for i in table]
-        self.tables = log_odds([word_ids(sorted(set(words[i]))) for i in table], y[table]), log_odds(grams, y[table])
-        rest = np.flatnonzero(~part)
-        inputs = Inputs(self.tables)
-        x, sizes = inputs.of([words[i] for i in rest]), np.array([len(words[i]) for i in rest], np.int64)
-        start, length, first = windows(sizes)
+        distinct = [sorted(set(w)) for w in words]
+        word = [np.unique(word_ids(d)).astype(np.int64) for d in distinct]
+        gram = [np.unique(gram_ids(d)[0]).astype(np.int64) if d else np.zeros(0, np.int64) for d in distinct]
+        tables = lambda some: tuple(log_odds([ids[i] for i in some], y[some]) for ids in (word, gram))
+        self.tables = tables(np.arange(len(y)))
+        part = np.empty(len(y), np.int64)
+        for side in (0, 1):
+            part[y == side] = rng.permutation(np.arange((y == side).sum()) % FOLDS)
+        rest = np.argsort(part, kind="stable")
+        x = np.concatenate([Inputs(tables(np.flatnonzero(part != k))).of([words[i] for i in np.flatnonzero(part == k)]) for k in range(FOLDS)])
+        start, length, first = windows(np.array([len(words[i]) for i in rest], np.int64))
         xs, mask = batch(x, start, length)
         of = np.repeat(np.arange(len(rest)), np.diff(np.concatenate([first, [len(start)]])))
         # Of a text with label 1 the window with the strongest words stands for it, of others all do.

@@ -98,7 +98,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 8, damping: floa
     return state
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, ratio: float = 2.0, least: float = 0.25) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, ratio: float = 2.0, least: float = 0.05) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages`` (page_id, url, html).
 
     A host is blocked if its distrust is at least ``ratio`` times its trust and ``least`` times the

@@ -171,7 +171,7 @@ def test_propagation_by_brute_force(spark):
     rng = np.random.default_rng(2)
     a = (rng.random((6, 6)) < 0.4) & ~np.eye(6, dtype=bool)
     seeds = spark.createDataFrame([("k", "h0", 1.0), ("k", "h3", 3.0)], "kind string, host string, weight double")
-    edges = spark.createDataFrame([("k", f"h{i}", f"h{j}", 1 / a[i].sum()) for i in range(6) for j in range(6) if a[i, j]], "kind string, src string, dst string, share double")
+    edges = spark.createDataFrame([("k", f"h{i}", f"h{j}", float(1 / a[i].sum())) for i in range(6) for j in range(6) if a[i, j]], "kind string, src string, dst string, share double")
     s = np.array([0.25, 0, 0, 0.75, 0, 0])
     v, m = s, a / np.maximum(a.sum(1, keepdims=True), 1)
     for _ in range(5):
@@ -234,9 +234,9 @@ def test_shards_are_even_and_keep_groups_together(spark):
         raw = (texts[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, crc32(raw), "rows", None)
     linked, apart = shards.cut_edges(out).first()
-    assert linked == 243 and apart < 0.75 * linked
+    assert linked == 243 and apart < 0.6 * linked
     spread = {r["shard"] for r in got if texts[r["doc_id"]] == "hot"}
-    assert len(spread) < 12
+    assert len(spread) <= 8
 
 
 def test_shards_of_odd_tables(spark):
@@ -385,11 +385,12 @@ def test_windows_cover_every_word():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    big = "/root/testdata/sf0.1"
+    """On the smallest tables that fill the training sample with enough rows of either label."""
+    big = "/root/testdata/check_s"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     held = toxicity.fold(F.col("doc_id")) == 2
     model = toxicity.train(docs, labels, ~held)
-    rows = toxicity.score(docs.where(held), model).join(labels, "doc_id").collect()
+    rows = toxicity.score(docs.join(F.broadcast(labels.select("doc_id")), "doc_id").where(held), model).join(labels, "doc_id").collect()
     bad, good = [r["score"] for r in rows if r["toxic"] == 1], [r["score"] for r in rows if r["toxic"] == 0]
     assert np.mean([s >= 0.3 for s in bad]) > 0.9 and np.mean([s >= 0.3 for s in good]) < 0.03
     odd = toxicity.score(docs_of(spark, ODD), model).collect()
