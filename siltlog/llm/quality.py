@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import cut, words
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = {
@@ -92,9 +92,16 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None)
     """``docs`` with the measures, base_failed, and kept: false if a base rule or one of ``rules`` fails."""
     base = reduce(Column.__and__, [r.holds() for r in BASE])
     own = reduce(Column.__and__, [r.holds() for r in (RULES if rules is None else rules)], F.lit(True))
-    # A filter on the verdict would be pushed below and compute the arrays anew for each element;
-    # rand() >= 0 is always true, and keeps it above.
-    return measures(docs, text).withColumns({"base_failed": ~base, "kept": base & own & (F.rand(0) >= 0)})
+    return measures(docs, text).withColumns({"base_failed": ~base, "kept": base & own})
+
+
+def passing(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    The verdicts are written first: a filter on them would be pushed below the projections, and
+    would split the text anew for every element of its arrays.
+    """
+    return cut(judge(docs, text, rules).select(*docs.columns, F.col("kept").alias("__kept")), "judged").where("__kept").select(*docs.columns)
 
 
 def oracle(rules: list[Rule] | None = None) -> str:
