@@ -224,8 +224,8 @@ def candidates(rows: DataFrame, cells: list[np.ndarray], bits: int, buckets: int
     return rows.select("_d", "_t", "text").mapInArrow(run, SCHEMA)
 
 
-def decided(group: pa.Table) -> pa.Table:
-    """(_d, _t, starts): the windows of a bucket that start earlier elsewhere, by document."""
+def decided(group: pa.Table, buckets: int) -> pa.Table:
+    """The windows of a bucket that start earlier elsewhere, packed by the bucket of their document."""
     parts = {True: [], False: []}
     for a, b, doc, start, ids, texts in zip(*(group.column(c).to_pylist() for c in ("a", "b", "doc", "start", "ids", "texts"))):
         at = np.frombuffer(doc, np.uint32)
@@ -237,12 +237,33 @@ def decided(group: pa.Table) -> pa.Table:
         order, later = ordered_windows(a, b, d, t, s)
         some = order[later]
         found.append((d[some], t[some], s[some]))
-    d, t, s = map(np.concatenate, zip(*found))
+    d, t, s, first, sizes = by_document(*map(np.concatenate, zip(*found)))
+    to = ((d[first].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+    rows = {"to": [], "ids": [], "texts": [], "sizes": [], "starts": []}
+    for k in np.unique(to).tolist():
+        some = np.flatnonzero(to == k)
+        values = (k, d[first[some]].tobytes(), t[first[some]].tobytes(), sizes[some].astype(np.uint32).tobytes(), s[np.repeat(to == k, sizes)].tobytes())
+        for name, value in zip(rows, values):
+            rows[name].append(value)
+    return pa.table(rows, schema=pa.schema([("to", pa.int32()), *((c, pa.binary()) for c in ("ids", "texts", "sizes", "starts"))]))
+
+
+def by_document(d: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows by document and start, with each document's first row and rows."""
     order = np.lexsort((s, t, d))
     d, t, s = d[order], t[order], s[order]
     first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])) if len(d) else np.zeros(0, np.int64)
-    ends = [*first[1:].tolist(), len(d)]
-    return pa.table({"_d": pa.array(d[first], pa.int64()), "_t": pa.array(t[first], pa.int64()), "starts": pa.array([s[x:y].tobytes() for x, y in zip(first.tolist(), ends)], pa.binary())})
+    return d, t, s, first, np.diff(np.concatenate([first, [len(d)]]))
+
+
+def gathered(group: pa.Table) -> pa.Table:
+    """(_d, _t, starts): one row for each document of a bucket that has windows to remove."""
+    found = []
+    for ids, texts, sizes, starts in zip(*(group.column(c).to_pylist() for c in ("ids", "texts", "sizes", "starts"))):
+        n = np.frombuffer(sizes, np.uint32)
+        found.append((np.repeat(np.frombuffer(ids, np.int64), n), np.repeat(np.frombuffer(texts, np.int64), n), np.frombuffer(starts, np.uint32)))
+    d, t, s, first, sizes = by_document(*map(np.concatenate, zip(*found)))
+    return pa.table({"_d": pa.array(d[first], pa.int64()), "_t": pa.array(t[first], pa.int64()), "starts": pa.array([s[x : x + n].tobytes() for x, n in zip(first.tolist(), sizes.tolist())], pa.binary())})
 
 
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +273,7 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text or "").encode("utf-8", "surrogatepass").split()
             counts.append(len(words))
             if starts:
-                at = np.frombuffer(b"".join(starts), np.uint32)
+                at = np.frombuffer(starts, np.uint32)
                 step = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
                 words = list(compress(words, (np.cumsum(step)[: len(words)] == 0).tolist()))
             gone.append(counts[-1] - len(words))
@@ -269,7 +290,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cel
     rows = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(NULL_ID)), "_t": F.xxhash64("text")})
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = cells or min(MOST_CELLS, max(16, int(size // 2).bit_length()))
-    found = candidates(rows, sketch(rows, bits), bits, max(1, size // BUCKET_BYTES))
-    starts = found.groupBy("bucket").applyInArrow(decided, "_d long, _t long, starts binary")
-    starts = starts.groupBy("_d", "_t").agg(F.collect_list("starts").alias("starts"))
+    buckets = max(1, size // BUCKET_BYTES)
+    found = candidates(rows, sketch(rows, bits), bits, buckets)
+    later = found.groupBy("bucket").applyInArrow(lambda group: decided(group, buckets), "to int, ids binary, texts binary, sizes binary, starts binary")
+    starts = later.groupBy("to").applyInArrow(gathered, "_d long, _t long, starts binary")
     return rows.join(starts, ["_d", "_t"], "left").select("doc_id", "text", "starts").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
