@@ -23,6 +23,7 @@ their texts; fully repeated rows count as one and give equal results. Empty tabl
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -105,14 +106,19 @@ class Hasher:
 
 
 def packed(cells: np.ndarray) -> bytes:
-    """Ascending cells of a block as gaps: two bytes each where all of them fit, else four."""
+    """Ascending cells of a block as gaps: all low bytes, then all high bytes; four bytes each if some gap is wider."""
     gaps = np.diff(cells, prepend=np.uint32(0))
-    wide = len(gaps) and gaps.max() > 0xFFFF
-    return (b"\1" + gaps.astype("<u4").tobytes()) if wide else (b"\0" + gaps.astype("<u2").tobytes())
+    if len(gaps) and gaps.max() > 0xFFFF:
+        return b"\1" + gaps.astype("<u4").tobytes()
+    return b"\0" + (gaps & np.uint32(255)).astype(np.uint8).tobytes() + (gaps >> np.uint32(8)).astype(np.uint8).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1), dtype=np.int64)
+    if data[0]:
+        return np.cumsum(np.frombuffer(data, "<u4", offset=1), dtype=np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).astype(np.int64)
+    n = len(planes) // 2
+    return np.cumsum(planes[:n] | planes[n:] << 8)
 
 
 def partition_sketch(hashes: tuple[np.ndarray, np.ndarray], bits: int) -> pa.RecordBatch:
@@ -185,19 +191,20 @@ def dealt(a, b, doc, start, ids, texts, buckets: int) -> Iterator[dict]:
     order, later = ordered_windows(a, b, ids[doc], texts[doc], start)
     for keep, known in ((order[~later], False), (order[later], True)):
         to = ((ids[doc[keep]].view(np.uint64) if known else a[keep]) % np.uint64(buckets)).astype(np.int64)
-        keep = keep[np.argsort(to, kind="stable")]
+        keep = keep[np.lexsort((start[keep], doc[keep], to))]
         ends = np.cumsum(np.bincount(to, minlength=buckets))
         for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
             some = keep[(ends[k - 1] if k else 0) : ends[k]]
             used, at = np.unique(doc[some], return_inverse=True)
-            yield {"bucket": k, "a": None if known else a[some].tobytes(), "b": None if known else b[some].tobytes(), "doc": at.astype(np.uint32).tobytes(), "start": start[some].tobytes(), "ids": ids[used].tobytes(), "texts": texts[used].tobytes()}
+            yield {"bucket": k, "a": None if known else a[some].tobytes(), "b": None if known else b[some].tobytes(), "doc": at.astype(np.uint32).tobytes(), "start": np.diff(start[some], prepend=np.uint32(0)).tobytes(), "ids": ids[used].tobytes(), "texts": texts[used].tobytes()}
 
 
 def candidates(rows: DataFrame, cells: list[np.ndarray], bits: int, buckets: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    # Few bits are set: compressed, the copies that executors keep on disk are small.
+    shared = rows.sparkSession.sparkContext.broadcast([zlib.compress(c.tobytes(), 1) for c in cells])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bitmaps = Hasher(), shared.value
+        hasher, bitmaps = Hasher(), [np.frombuffer(zlib.decompress(c), np.uint8) for c in shared.value]
         schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "doc", "start", "ids", "texts"))])
         held, ids, texts, n, docs = [], [], [], 0, 0
 
@@ -229,7 +236,7 @@ def decided(group: pa.Table, buckets: int) -> pa.Table:
     parts = {True: [], False: []}
     for a, b, doc, start, ids, texts in zip(*(group.column(c).to_pylist() for c in ("a", "b", "doc", "start", "ids", "texts"))):
         at = np.frombuffer(doc, np.uint32)
-        d, t, s = np.frombuffer(ids, np.int64)[at], np.frombuffer(texts, np.int64)[at], np.frombuffer(start, np.uint32)
+        d, t, s = np.frombuffer(ids, np.int64)[at], np.frombuffer(texts, np.int64)[at], np.cumsum(np.frombuffer(start, np.uint32), dtype=np.uint32)
         parts[a is None].append((d, t, s) if a is None else (np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), d, t, s))
     found = list(parts[True])
     if parts[False]:
