@@ -56,3 +56,29 @@ def test_registered():
 def test_rejected_documents_are_gone(spark):
     docs = spark.createDataFrame([(1, "too short", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[0][1](spark, docs, DIR).where(F.col("doc_id") == 1).count() == 0
+
+
+def near_copies_table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_copies_are_those_of_five_words_at_four_fifths(spark):
+    """Against all pairs: copies at 0.8 or more that SimHash tells apart, chains of them, others below."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(6):
+        w = [f"k{k}w{rng.integers(10**6)}" for _ in range(120)]
+        for changes in (0, 1, 2, 2, 3, 5, 8):
+            v = list(w)
+            for at in rng.choice(120, changes, replace=False):
+                v[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {min(i for i, x in enumerate(label) if x == y) for y in label}
+    got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, near_copies_table(spark, list(enumerate(texts))), DIR).collect())
+    assert got == sorted(want) and 6 < len(want) < 30
