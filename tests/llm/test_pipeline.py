@@ -82,3 +82,14 @@ def test_near_copies_are_those_of_five_words_at_four_fifths(spark):
     want = {min(i for i, x in enumerate(label) if x == y) for y in label}
     got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, near_copies_table(spark, list(enumerate(texts))), DIR).collect())
     assert got == sorted(want) and 6 < len(want) < 30
+
+
+def test_null_and_repeated_ids_lose_no_clean_rows(spark):
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first()["text"]
+    clean = [" ".join(f"r{k}w{i}" for i in range(30)) for k in range(5)]
+    rows = [(None, clean[0]), (None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (8, clean[4]), (8, clean[4]), (None, item), (7, item + " end")]
+    once = corpus_pipeline.one_of_each(spark, near_copies_table(spark, rows), DIR)
+    texts = sorted(r["text"] for r in once.collect())
+    assert [t for t in texts if t in clean] == sorted(clean)
+    left = corpus_pipeline.decontaminated(spark, near_copies_table(spark, rows), DIR)
+    assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows if t in clean)
