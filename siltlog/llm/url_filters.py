@@ -3,7 +3,7 @@
 A rule is host/path with a verdict. It fits its host and all subdomains of it where the url's path
 starts with the rule's path; the longest rule that fits decides. Pages that no rule fits take the
 verdict of their host: personalised PageRank from trusted hosts along the edges, the same from
-blocked hosts against them, and a threshold on the two. Hosts are seeds if rules allow (block) at
+blocked hosts against them, and a threshold on trust and on how far a host's own links lead to blocked ones. Hosts are seeds if rules allow (block) at
 least half of their pages. Edges are links in the pages between hosts, and, both ways, a host and
 its parent host where both have pages.
 
@@ -82,7 +82,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
     """(kind, host, score) after ``rounds`` of personalised PageRank.
 
-    seeds: (kind, host, weight); edges: (kind, src, dst, share), shares of a source adding up to 1.
+    seeds: (kind, host, weight); edges: (kind, src, dst, share), shares of a source (of exposure: of a
+    target) adding up to 1.
     Weights are scaled to a sum of 1 for each kind. Mass at hosts without edges is not passed on.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("_all"))
@@ -101,25 +102,29 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 8, damping: floa
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, ratio: float = 2.0, least: float = 0.05) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages`` (page_id, url, html).
 
-    A host is blocked if its distrust is at least ``ratio`` times its trust and ``least`` times the
-    mean mass of a blocked seed.
+    A host is blocked if its exposure is at least ``ratio`` times its trust and ``least`` times the mean
+    mass of a blocked seed. Exposure is spread from blocked hosts like distrust, but a host takes of each
+    host that it links to the share of that link in its own links: it doesn't shrink as others link there.
     """
     rows = judged_by_rules(pages.select("page_id", "url", "html"), rules)
     share = lambda verdict: F.avg(F.when(F.col("_ruled") == verdict, 1.0).otherwise(0.0))
     hosts = cut(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("_allow"), share("block").alias("_block")), "hosts")
     seeds = hosts.where("_allow >= 0.5").select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("weight"))
-    seeds = seeds.unionByName(hosts.where("_block >= 0.5").select(F.lit("distrust").alias("kind"), "host", F.lit(1.0).alias("weight")))
+    blocked = F.explode(F.array(F.lit("distrust"), F.lit("exposure"))).alias("kind")
+    seeds = seeds.unionByName(hosts.where("_block >= 0.5").select(blocked, "host", F.lit(1.0).alias("weight")))
     up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst"))
     family = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
     links = host_edges(rows).unionByName(family).unionByName(family.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = links.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("_n"))
     edges = both.join(degree, ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("_n")).alias("share"))
+    own = links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("_n")), "src")
+    edges = edges.unionByName(own.select(F.lit("exposure").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("_n")).alias("share")))
     ranks = propagate(seeds, edges, rounds)
     of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)), 12)
     n = seeds.agg(F.count(F.when(F.col("kind") == "distrust", 1)).alias("_n"))  # one row
-    scores = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).join(F.broadcast(n))
-    bad = (F.col("distrust") > 0) & (F.col("distrust") >= ratio * F.col("trust")) & (F.col("distrust") * F.col("_n") >= least)
+    scores = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"), of("exposure").alias("_exposure")).join(F.broadcast(n))
+    bad = (F.col("_exposure") > 0) & (F.col("_exposure") >= ratio * F.col("trust")) & (F.col("_exposure") * F.col("_n") >= least)
     scores = cut(scores.select("host", "trust", "distrust", bad.alias("_bad")), "scores")
     out = judged_by_rules(pages.select("page_id", "url"), rules).join(scores, "host", "left")
     own = F.when(F.coalesce("_bad", F.lit(False)), "block").otherwise("allow")

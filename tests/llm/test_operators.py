@@ -167,6 +167,16 @@ def test_distrust_runs_against_the_links(spark):
     assert got[2]["distrust"] > got[2]["trust"] == 0 and got[4]["trust"] > 0 == got[4]["distrust"]
 
 
+@pytest.mark.parametrize("d", [3, 1000])
+def test_a_farm_of_any_size_is_blocked(spark, d):
+    """The verdict of a farm host doesn't change as others join; one bad link of many doesn't block."""
+    link = lambda h: f'<a href="http://{h}/x">'
+    rows = [(0, "http://bad.net/es/", None), (-1, "http://list.org/p", "".join(map(link, ["bad.net", *(f"n{i}.org" for i in range(9))])))]
+    rows += [(i, f"http://farm{i}.org/p", link("bad.net")) for i in range(1, d + 1)]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages_of(spark, rows)).collect()}
+    assert got[-1] == "allow" and all(got[i] == "block" for i in range(d + 1))
+
+
 def test_propagation_by_brute_force(spark):
     rng = np.random.default_rng(2)
     a = (rng.random((6, 6)) < 0.4) & ~np.eye(6, dtype=bool)
