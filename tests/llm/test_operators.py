@@ -142,6 +142,16 @@ def test_redaction_keeps_the_rest(spark):
     assert [r["text"] for r in got] == ["a [x] b", None, "clean"]
 
 
+def test_private_keys_go_with_their_bodies():
+    body = "\n".join(["QUJD" * 16] * 3 + ["Zm9vYmFy"])
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"
+    for text in (f"a {head}{body}{tail} b", f"a {head}Proc-Type: 4,ENCRYPTED\n\n{body}\n b", f"a {head}{body}\n{head}{body}{tail} b"):
+        left = secrets.redacted(text, secrets.find([text])[0], "[x]")
+        assert "QUJD" not in left and "Zm9v" not in left and left.startswith("a [x]") and left.endswith(" b")
+    text = "the -----BEGIN PRIVATE KEY----- line alone"
+    assert secrets.redacted(text, secrets.find([text])[0], "[x]") == "the [x] line alone"
+
+
 # 1: URLs
 
 
