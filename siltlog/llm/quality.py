@@ -5,7 +5,9 @@ measure, words in repeated five-word windows, is decided by 64-bit window hashes
 differ (then no window repeats) and by the windows' words themselves otherwise.
 
 A null text has no words and fails the base rule, as an empty one does; repeated rows get equal
-results; an empty table gives an empty one.
+results; an empty table gives an empty one. A text is measured whole, within its row: a very long one
+costs memory in proportion to it. Columns of the input are carried as one struct, so that no name of
+theirs meets one of the measures.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import words
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = {
@@ -61,12 +63,16 @@ RULES = [
 ]
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measures as columns; columns of ``docs`` with their names give way."""
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words"]
+
+
+def measured(docs: DataFrame, text: str, rules: list[Rule] | None) -> DataFrame:
+    """(row, the measures, base_failed, kept): each row of ``docs`` as one struct beside what is found of it."""
     stop = sorted({w for some in STOP_WORDS.values() for w in some})
-    t = F.coalesce(F.col(text), F.lit(""))
+    df = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[text], F.lit("")).alias("__t"))
+    t = F.col("__t")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumns({"__w": words(t), "__l": lines, "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long")})
+    df = df.withColumns({"__w": words(t), "__l": lines, "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long")})
     w, n, one = F.col("__w"), F.size("__w"), F.col("__l")
     at = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
     df = df.withColumns({
@@ -85,23 +91,30 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     s = F.col("__s")
     steps = F.transform(s, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1), x + WINDOW) - x))
     df = df.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.drop("__w", "__l", "__h", "__g", "__s")
+    base = reduce(Column.__and__, [r.holds() for r in BASE])
+    own = reduce(Column.__and__, [r.holds() for r in (RULES if rules is None else rules)], F.lit(True))
+    return df.select("row", *MEASURES, (~base).alias("base_failed"), (base & own).alias("kept"))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """``docs`` with the measures, base_failed, and kept: false if a base rule or one of ``rules`` fails."""
-    base = reduce(Column.__and__, [r.holds() for r in BASE])
-    own = reduce(Column.__and__, [r.holds() for r in (RULES if rules is None else rules)], F.lit(True))
-    return measures(docs, text).withColumns({"base_failed": ~base, "kept": base & own})
+    """``docs`` with the measures, base_failed, and kept: false if a base rule or one of ``rules`` fails.
+
+    Columns of ``docs`` that have the name of a result give way to it; all others stay as they are.
+    """
+    results = [*MEASURES, "base_failed", "kept"]
+    taken = {c.lower() for c in results}
+    return measured(docs, text, rules).select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in taken), *results)
 
 
 def passing(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept.
+    """The rows of ``docs`` that are kept, with all of its columns and no others.
 
-    The verdicts are written first: a filter on them would be pushed below the projections, and
-    would split the text anew for every element of its arrays.
+    The verdict is joined with something that Spark takes for nondeterministic. A plain filter would be
+    pushed below the projections, and would split the text anew for every element of its arrays.
     """
-    return cut(judge(docs, text, rules).select(*docs.columns, F.col("kept").alias("__kept")), "judged").where("__kept").select(*docs.columns)
+    opaque = F.col("kept") & (F.spark_partition_id() >= 0)
+    df = measured(docs, text, rules).select("row", opaque.alias("kept")).where("kept")
+    return df.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def oracle(rules: list[Rule] | None = None) -> str:
