@@ -5,8 +5,9 @@ value below it. The root is the leftmost pair of the lowest rank. A merge change
 it costs three walks to the root. Short pieces go through the tree many at a time, as rows of
 NumPy arrays; long ones through a list-backed tree.
 
-Null texts count as empty; an empty text has no ids and decodes to the empty text. Rows are
-independent: repeated rows give repeated results, an empty table an empty one.
+Null texts count as empty; an empty text has no ids and decodes to the empty text. A very long piece
+costs the logarithm of its length for each merge. Rows are independent: repeated rows give repeated
+results, an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import fresh, slices
 
 # Fixed value: the split pattern of the byte-level vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -32,7 +33,7 @@ BULK = 64
 #: Two white-space characters in a row, one of them a space.
 GAPS = re.compile(r" \s|\s ")
 #: The cache of ids is emptied beyond this many entries.
-CACHED = 800_000
+CACHED = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,11 +44,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class Bpe:
-    """Encoder and decoder for one vocabulary file."""
+    """Encoder and decoder for the content of one vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            held = json.load(f)
+    def __init__(self, content: str):
+        held = json.loads(content)
         vocab, merges = held["model"]["vocab"], held["model"]["merges"]
         letters = byte_letters()
         raw = {c: b for b, c in letters.items()}
@@ -202,13 +202,27 @@ class Bpe:
         return [b"".join(map(known.__getitem__, c)) for c in cut_up]
 
     def decode(self, ids: bytes) -> str:
-        """The text of the ids; bytes that are not UTF-8 become replacement characters."""
-        return b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        """The text of the ids; bytes that are not UTF-8 become replacement characters.
+
+        Ids outside the vocabulary are skipped, and so are bytes after the last whole id.
+        """
+        whole = np.frombuffer(ids, "<u4", len(ids) // 4).tolist()
+        return b"".join([self.out.get(i, b"") for i in whole]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
+def loaded(content: str) -> Bpe:
+    return Bpe(content)
+
+
+def content_of(path: str) -> str:
+    """The vocabulary file, read on the driver: executors get its content and need no path."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def model(path: str) -> Bpe:
-    return Bpe(path)
+    return loaded(content_of(path))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", n: str = "n_tokens", keep: list[str] | None = None, with_decoded: str | None = None) -> DataFrame:
@@ -219,13 +233,16 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     """
     results = [ids, n, *([with_decoded] if with_decoded else [])]
     kept = [c for c in (df.columns if keep is None else keep) if c not in results]
-    src = df.select(*kept, df[text].alias("__text"))
+    held = fresh("text", kept)
+    src = df.select(*kept, df[text].alias(held))
     schema = T.StructType([*src.select(*kept).schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType()), *([T.StructField(with_decoded, T.StringType())] if with_decoded else [])])
 
+    shared = df.sparkSession.sparkContext.broadcast(content_of(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(vocabulary)
-        for batch in slices(batches, "__text", 4 << 20):
-            found = bpe.encode_batch(batch.column("__text").to_pylist())
+        bpe = loaded(shared.value)
+        for batch in slices(batches, held):
+            found = bpe.encode_batch(batch.column(held).to_pylist())
             cols = [batch.column(c) for c in kept] + [pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())]
             if with_decoded:
                 cols.append(pa.array([bpe.decode(x) for x in found], pa.string()))
@@ -239,8 +256,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     kept = [c for c in df.columns if c != text]
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(text, T.StringType())])
 
+    shared = df.sparkSession.sparkContext.broadcast(content_of(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(vocabulary)
+        bpe = loaded(shared.value)
         for batch in batches:
             out = [None if x is None else bpe.decode(x) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, text])
