@@ -7,7 +7,8 @@ texts hold a trigram) for the trigrams that some rule asks for, the queries are
 intersecting and uniting postings, and only the candidates are searched. A rule without mandatory
 trigrams searches every text.
 
-Null texts count as empty and hold no secrets. Offsets are code points, the end exclusive. Rows are
+Null texts count as empty and hold no secrets. Offsets are code points, the end exclusive. Every rule
+takes time in proportion to the text, so that very long texts are searched whole. Rows are
 independent: repeated rows give repeated results, an empty table an empty one.
 """
 
@@ -50,9 +51,10 @@ RULES = (
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Only where a run of such characters begins, and schemes of bounded length: else a long run costs its square.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=~-]{20,})", 1, 20),
-    Rule("url_login", r"[a-z][a-z0-9+]*://[^\s:/@]+:[^\s:/@]+@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{0,31}://[^\s:/@]+:[^\s:/@]+@"),
 )
 
 #: A query is True (all texts), a trigram, or ("and" | "or", queries).
@@ -103,7 +105,7 @@ def study_one(op, arg) -> tuple[set[str] | None, Query]:
         return {chr(v).lower() for _, v in arg}, True
     if op is C.SUBPATTERN:
         return study(arg[3])
-    if op is C.AT:
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
         return {""}, True
     if op is C.BRANCH:
         parts = [study(x) for x in arg[1]]
@@ -201,7 +203,8 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]], mark: str) ->
 def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, redact: str | None = None, spans: str = "spans") -> DataFrame:
     """``docs`` with the secrets found in ``text`` as an array of (kind, start, end).
 
-    With ``redact``, the text is returned with that mark in their place; a null text stays null.
+    With ``redact``, the text is returned with that mark in their place; a null text stays null. A
+    column of ``docs`` that is called as ``spans`` says gives way; all others stay as they are.
     """
     kept = [c for c in docs.columns if c != spans]
     src = docs.select(*kept)
