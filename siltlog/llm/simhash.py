@@ -16,6 +16,8 @@ accepted whole. Only a spanning set of links leaves a task, at most one for each
 A text of fewer words than a shingle has its whole sequence as its one shingle; null, empty and blank
 texts have the fingerprint zero, which links like any other. Repeated rows get equal results. A null
 doc_id is never a component's id unless all of its doc_ids are null. An empty table gives an empty one.
+A very long text is shingled whole, in memory in proportion to it. Columns other than id and text
+aren't looked at. A fingerprint that many rows have meets them by broadcast, never in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, slices
+from .common import cut, drop, made, slices, spread_join
 
 SHINGLE, SEED, RADIUS, BLOCKS, FAN = 3, 42, 2, 6, 8
 #: Rows that one task of the link search is meant to hold, and pairs that it looks at together.
@@ -206,31 +208,35 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b), root being the least node of the component.
 
-    Alternates large and small stars until nothing changes; each round is cut off in a table.
+    Alternates large and small stars until nothing changes, which takes about the logarithm of the
+    nodes in rounds; each round is cut off in a table, which the next one's replaces.
     """
-    state, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), None
-    for _ in range(most):
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        state = cut(small, "stars")
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    raise RuntimeError(f"components did not settle in {most} rounds")
+    spark, before = edges.sparkSession, None
+    with made() as paths:
+        state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        while True:
+            both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            lower = large.groupBy("u").agg(F.min("v").alias("m"))
+            stars = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            state = cut(stars, "stars")
+            now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            drop(spark, paths[:-1])
+            del paths[:-1]
+            if now == before:
+                return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            before = now
 
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable) for every row."""
     rows = cut(fingerprints(docs, doc_id, text, width), "fingerprints")
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct")
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")), "distinct")
     roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp", "root": "_root"})
     rooted = distinct.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    linked = rooted.join(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root").select("fp", "component_id")
-    return rows.join(linked, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = cut(rooted.join(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root").select("fp", "component_id", "_n"), "components")
+    return spread_join(rows, linked, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
