@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from zlib import crc32
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltlog.llm import bpe, decontaminate, quality, queries, secrets, shards, simhash, substrings, token_counts, toxicity, url_filters
+from siltlog.llm import bpe, common, decontaminate, quality, queries, secrets, shards, simhash, substrings, token_counts, toxicity, url_filters
 
 DIR = "/root/testdata/sf0.001"
 ODD = ["", None, " \t\n", "a", "one two", "é" * 50, "word " * 300, "x" * 5000, "\x0b\x0c a\x1cb  c d", "don't I'll 3½ 中文 😀\r\n\r\n  end ", "same text here", "same text here"]
@@ -53,10 +54,10 @@ def test_bpe_is_the_librarys(spark, library):
 
 
 def test_bpe_decodes_any_ids(spark, library):
-    ids = [[0, 50256, 128, 200], [], [187]]
-    df = spark.createDataFrame([(i, bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)] + [(9, None)], "n int, ids binary")
+    ids = [[0, 50256, 128, 200], [], [187], [999999, 64, 4294967295, 65]]
+    df = spark.createDataFrame([(i, bytearray(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)] + [(9, None), (8, bytearray(b"\x40\0\0\0\x41\0"))], "n int, ids binary")
     got = {r["n"]: r["decoded"] for r in bpe.decode(df, queries.vocabulary()).collect()}
-    assert got == {i: library.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)} | {9: None}
+    assert got == {i: library.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)} | {9: None, 8: library.decode([64])}
     assert bpe.encode(empty(spark), queries.vocabulary()).count() == 0
 
 
@@ -137,6 +138,36 @@ def test_index_loses_no_match(rule):
     assert (secrets.trigram_query(rule.pattern) is True) == (rule.kind == "hex")
 
 
+PLANTED = [
+    "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 12 + "\n-----END RSA PRIVATE KEY-----", "gho_" + "a1B2" * 10, "xoxp-12345-abcde-99", "AIza" + "Sy-_" * 9, "rk_test_" + "z9" * 10, "sk_live_" + "q" * 16,
+    "eyJhbGciOiJI.eyJzdWIiOiIx.sig_na-ture9", "x eyJhbGciOiJI.eyJzdWIiOiIx.short", "Bearer  " + "tok.en~/+" * 3, "ftp://user:pa55@host", "git+ssh://a:b@c https://plain/x:y@z", "token: abcdefg", "AKIA" + "7" * 16, "deadbeef" * 4,
+]
+
+
+def test_every_kind_by_plain_search(spark):
+    """The index against a search of every text with every rule, over whole texts."""
+    rng = random.Random(12)
+    real = [r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    texts = [*ODD, *real, *(" ".join(x) for x in PLANTED), *(t + rng.choice(["", " ", "\n", "é", "x"]) + rng.choice(PLANTED) + rng.choice(["", " ", "/"]) + t for t in real), "\n".join(PLANTED)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs_of(spark, texts)).collect()}
+    kinds = set()
+    for i, t in enumerate(texts):
+        plain = [(m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t or "", re.A) if len(m.group(r.group)) >= r.least]
+        assert got[i] == [(secrets.RULES[k].kind, a, b) for a, k, b in sorted(plain)]
+        kinds |= {k for k, _, _ in got[i]}
+    assert kinds == {r.kind for r in secrets.RULES}
+
+
+@pytest.mark.parametrize("part", ["x", " ", "eyJ", "a://b:", "eyJaaaaaaaa.", "http://", "-----BEGIN PRIVATE KEY-----", "\nA:", "AKIA", "token "])
+def test_long_texts_take_linear_time(part):
+    took = []
+    for n in (250_000, 1_000_000):
+        began = time.perf_counter()
+        secrets.find([part * (n // len(part)) + " a://b"])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2 + 8 * took[0]
+
+
 def test_redaction_keeps_the_rest(spark):
     got = secrets.scan(docs_of(spark, ["a token=abcdef1 b", None, "clean"]), redact="[x]").orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["a [x] b", None, "clean"]
@@ -232,6 +263,39 @@ def test_decontamination_by_brute_force(spark):
     assert decontaminate.search(empty(spark), bench).count() == 0 and decontaminate.search(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_a_common_shingle_makes_no_pairs(spark):
+    """300 items share one phrase with 600 documents, each of which holds two items: those are the candidates."""
+    phrase = "this phrase is in all"
+    items = [phrase + " " + " ".join(f"i{k}w{j}" for j in range(20)) for k in range(300)]
+    texts = [items[k // 2] + " and " + items[(k // 2 + 1) % 300] for k in range(600)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    sizes = []
+    original = decontaminate.cut
+
+    def counted(df, name):
+        out = original(df, name)
+        if name == "candidates":
+            sizes.append(out.count())
+        return out
+
+    decontaminate.cut = counted
+    try:
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs_of(spark, texts), bench).collect()}
+    finally:
+        decontaminate.cut = original
+    assert got == {(k, j) for k in range(600) for j in (k // 2, (k // 2 + 1) % 300)} and sizes == [1200]
+
+
+def test_the_least_id_is_not_null(spark):
+    low = -(1 << 63)
+    item = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [r["doc_id"] for r in decontaminate.search(docs_of(spark, [item, item], [None, low]), bench).collect()]
+    assert sorted(got, key=str) == [low, None]
+    left = substrings.deduplicate(docs_of(spark, [item, item], [None, low])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in left} == {None: 0, low: 20}
+
+
 # 7: shards
 
 
@@ -317,6 +381,16 @@ def test_components_of_chains_and_stars(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_fingerprints_meet_by_broadcast(spark, monkeypatch):
+    """Half of the rows blank, and no table small enough to be broadcast whole."""
+    texts = [*[None, "", " "] * 20, *real_texts(spark, 30), *["the same words here"] * 30]
+    want = {r["doc_id"]: r["component_id"] for r in simhash.group(docs_of(spark, texts)).collect()}
+    monkeypatch.setattr(common, "BROADCAST", 0)
+    monkeypatch.setattr(common, "HOT", 25)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.group(docs_of(spark, texts)).collect()} == want
+    assert all(want[i] == 0 for i in range(60)) and len(want) == len(texts)
+
+
 def test_groups_of_documents(spark):
     texts = [*ODD, *real_texts(spark, 60), *real_texts(spark, 10)]
     ids = [None if i == 4 else i for i in range(len(texts))]

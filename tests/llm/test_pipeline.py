@@ -1,11 +1,12 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from siltlog.llm import quality, secrets, simhash
+from siltlog.llm import common, near_copies, quality, secrets
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,8 +20,7 @@ def test_stages(spark, tmp_path):
         assert i == len(corpus_pipeline.STAGES) - 1 or kept[-1].columns == columns
     ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
     assert ids[1] == {r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]}
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.group(kept[1]).collect()}
-    assert ids[2] == {d for d, c in groups.items() if d == c}
+    assert ids[2] == firsts_of_near_copies([(r["doc_id"], r["text"]) for r in kept[1].collect()])
     assert ids[3] <= ids[2] and len(ids[3]) >= 0.8 * len(ids[2])
     texts = [r["text"] for r in kept[4].collect()]
     assert ids[4] == ids[3] and not any(secrets.find(texts))
@@ -62,7 +62,21 @@ def near_copies_table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def test_near_copies_are_those_of_five_words_at_four_fifths(spark):
+def firsts_of_near_copies(rows):
+    """The least id of each component of all pairs whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    rows = sorted(rows)
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                label = [label[j] if x == label[i] else x for x in label]
+    return {rows[min(i for i, x in enumerate(label) if x == y)][0] for y in label}
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_near_copies_are_those_of_five_words_at_four_fifths(spark, monkeypatch, block):
     """Against all pairs: copies at 0.8 or more that SimHash tells apart, chains of them, others below."""
     rng = np.random.default_rng(3)
     texts = []
@@ -73,17 +87,47 @@ def test_near_copies_are_those_of_five_words_at_four_fifths(spark):
             for at in rng.choice(120, changes, replace=False):
                 v[at] = f"new{rng.integers(10**6)}"
             texts.append(" ".join(v))
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                label = [label[j] if x == label[i] else x for x in label]
-    want = {min(i for i, x in enumerate(label) if x == y) for y in label}
+    # Chains: each text is near the next only, and the least in a bucket isn't near all of it.
+    w = [f"c{i}" for i in range(150)]
+    for k in range(12):
+        w = [f"v{k}" if i % 150 == 12 * k + 3 else x for i, x in enumerate(w)]
+        texts.append(" ".join(w))
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    want = firsts_of_near_copies(list(enumerate(texts)))
     got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, near_copies_table(spark, list(enumerate(texts))), DIR).collect())
     assert got == sorted(want) and 6 < len(want) < 30
 
 
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_joins_by_shuffle_change_nothing(spark, monkeypatch, broadcast):
+    """A key that half of the rows have, exact copies under one id, and no table small enough for broadcast."""
+    monkeypatch.setattr(common, "BROADCAST", broadcast)
+    monkeypatch.setattr(common, "HOT", 20)
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first()["text"]
+    clean = [" ".join(f"r{k}w{i}" for i in range(30)) for k in range(20)]
+    rows = [*((None, clean[0]) for _ in range(60)), *((k, clean[1]) for k in range(30)), *((9, clean[k]) for k in range(2, 6)), *((8, clean[6]) for _ in range(3)), *((k, t) for k, t in enumerate(clean[7:], 100)), (1, item), (None, item)]
+    docs = near_copies_table(spark, rows)
+    left = corpus_pipeline.decontaminated(spark, docs, DIR)
+    assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows if t != item)
+    once = corpus_pipeline.one_of_each(spark, left, DIR).collect()
+    assert sorted(r["text"] for r in once) == sorted(clean)
+    assert {r["doc_id"] for r in once if r["text"] == clean[1]} == {0}
+
+
+def test_other_columns_pass_untouched(spark):
+    """Columns called as the operators call their own, of any type, come out as they went in."""
+    names = ["n_words", "kept", "row", "_row", "__w", "_d", "_bad", "_spans", "spans", "_k1", "_n", "set", "c"]
+    texts = [" ".join(["the of and to"] * 2 + [f"w{k}{i}" for i in range(30)] + ["password=abcdef12"]) for k in range(3)]
+    rows = [(i, t, "en", "s", len(t), *(f"{n}{i}" for n in names), {"k": i}) for i, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names) + ", extra map<string, int>")
+    want = {i: tuple(f"{n}{i}" for n in names) for i in range(3)}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DIR)
+    got = docs.collect()
+    assert docs.schema.names == ["doc_id", "text", "lang", "source", "n_chars", *names, "extra"]
+    assert {r["doc_id"]: tuple(r[n] for n in names) for r in got} == want and all(r["extra"] == {"k": r["doc_id"]} and "[secret]" in r["text"] for r in got)
+
+
 def test_null_and_repeated_ids_lose_no_clean_rows(spark):
     item = spark.read.parquet(f"{DIR}/benchmark.parquet").first()["text"]
     clean = [" ".join(f"r{k}w{i}" for i in range(30)) for k in range(5)]
