@@ -420,8 +420,13 @@ def brute_substrings(docs):
     return out
 
 
-@pytest.mark.parametrize("cells", [None, 8])
-def test_substrings_by_brute_force(spark, cells):
+@pytest.mark.parametrize("cells, small", [(None, False), (8, False), (None, True), (30, True)])
+def test_substrings_by_brute_force(spark, monkeypatch, cells, small):
+    """With sketches that let nearly all and nearly nothing through, in small chunks and buckets, and joined by shuffle."""
+    if small:
+        for name, value in (("CHUNK", 50), ("HELD", 100), ("BUCKET", 200)):
+            monkeypatch.setattr(substrings, name, value)
+        monkeypatch.setattr(common, "BROADCAST", 0)
     rng = random.Random(8)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [*ODD, "a " * 100, "a " * 25 + "b " * 30, passage, *(" ".join(f"w{rng.randrange(9)}" for _ in range(40)) + " " + passage + f" t{i}" for i in range(20)), *real_texts(spark), *real_texts(spark, 5)]
@@ -437,14 +442,33 @@ def test_substrings_of_odd_tables(spark):
     assert substrings.deduplicate(empty(spark)).count() == 0
 
 
-def test_small_batches_change_nothing(spark, monkeypatch):
-    texts = real_texts(spark, 40)
-    hasher = substrings.Hasher()
-    a, b, doc, start = hasher.windows(texts + texts)
-    whole = substrings.ordered_windows(a, b, doc.astype(np.int64), doc * 0, start)[1].sum()
-    assert whole >= len(a) // 2
-    for cells in (np.arange(0, 5), np.array([0, 70000, 1 << 19])):
+def test_codes_of_the_sketch():
+    for cells in (np.arange(0, 5), np.array([0, 70000, 1 << 19]), np.zeros(0, np.int64)):
         assert (substrings.unpacked(substrings.packed(cells.astype(np.uint32))) == cells).all()
+    for at in (np.arange(300), np.array([0, 1 << 24, 5]), np.zeros(0, np.int64)):
+        assert (substrings.placed(substrings.places(at)) == at).all()
+
+
+def test_equal_windows_have_equal_anchors():
+    rng = np.random.default_rng(5)
+    for words in (rng.integers(0, 1 << 62, 400, np.uint64), rng.integers(0, 2, 400).astype(np.uint64)):
+        at = substrings.least_of(substrings.rolled(words, substrings.FIRST, 10), 11)
+        gram = substrings.rolled(words, substrings.FIRST, 10)
+        assert all(at[i] == i + int(np.argmin(gram[i : i + 11])) for i in range(len(at))) and (np.diff(at) >= 0).all()
+
+
+def test_the_sketch_grows_with_the_texts(spark):
+    """Four times the texts make about four times the rows and bytes, and few single windows pass."""
+    rng = random.Random(9)
+    sizes = []
+    for n in (100, 400):
+        docs = docs_of(spark, [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(n)]).repartition(2)
+        rows = docs.withColumns(substrings.keyed(F.col("doc_id"), F.col("text")))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+        parts = substrings.sketches(rows, size.bit_length()).cache()
+        marks = substrings.estimated(rows, size.bit_length())
+        sizes.append((parts.count(), common.bytes_of(parts), (marks.agg(F.sum("n")).first()[0] or 0) / (n * 50)))
+    assert sizes[1][0] <= 6 * sizes[0][0] and 3 < sizes[1][1] / sizes[0][1] < 5 and max(s[2] for s in sizes) < 0.06
 
 
 # 9: toxicity
