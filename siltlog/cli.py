@@ -13,17 +13,27 @@ from __future__ import annotations
 
 import cmd
 import re
+import time
+import uuid
 from dataclasses import dataclass
 
-from .introspect import SHOWS, profile_read, profile_write
+from .introspect import SHOWS, Profile, profile_read, profile_write
 from .schema import UNBOUNDED, Bound
 from .store import Store
 from .streaming import Channels
 
 WORD, GAP = re.compile(r"[^ \t]+"), re.compile(r"[ \t]+")
 IN_PAIR = re.compile(r"[^ \t(),]+")
-#: Everything that Tab can complete.
-COMPLETIONS = "put delete get fill scan keys show memtable sstable level options files profile channel add pub sub prevmsg-sub unbounded exit clear".split()
+# The words of the language, all of which Tab completes.
+BASIC = ("put", "delete", "get", "fill", "scan", "keys")
+CHANNEL = ("show", "add", "pub", "sub", "prevmsg-sub")
+CONTROL = ("exit", "clear")
+BOUNDS = ("unbounded", "in:", "ex:")
+COMPLETIONS = [*dict.fromkeys([*BASIC, "show", *SHOWS, "profile", "channel", *CHANNEL, *BOUNDS, *CONTROL])]
+
+
+#: Lines that the prompt remembers.
+HISTORY = 1000
 
 
 class ParseError(ValueError):
@@ -91,9 +101,6 @@ class Reader:
         return out
 
 
-BASIC = ("put", "delete", "get", "fill", "scan", "keys")
-
-
 def parse(line: str) -> Command:
     text = line.rstrip("\r\n")
     r = Reader(text)
@@ -112,7 +119,7 @@ def parse(line: str) -> Command:
     if head == "show":
         return Command("show", r.choice(list(SHOWS), "one of " + ", ".join(SHOWS)))
     if head == "channel":
-        op = r.choice(["show", "add", "pub", "sub", "prevmsg-sub"], "show, add, pub, sub or prevmsg-sub")
+        op = r.choice(list(CHANNEL), "show, add, pub, sub or prevmsg-sub")
         if op == "show":
             return Command("channel", op)
         name = r.word("a channel's name")
@@ -122,7 +129,7 @@ def parse(line: str) -> Command:
         while GAP.match(text, r.at) and WORD.match(text, GAP.match(text, r.at).end()):
             values.append(r.word("a value"))
         return Command("channel", op, (name, tuple(values)))
-    if head in ("exit", "clear"):
+    if head in CONTROL:
         return Command("control", head)
     raise ParseError(text, start, "a command")
 
@@ -145,7 +152,8 @@ def shown(value: bytes) -> str:
         return value.hex(" ")
 
 
-def execute(c: Command, store: Store, channels: Channels, say=print) -> None:
+def execute(c: Command, store: Store, channels: Channels, say=print) -> Profile | None:
+    """Carry the command out; the profile of what it took, for commands on keys."""
     profile = None
     if c.family == "show":
         rows = SHOWS[c.op](store).collect()
@@ -165,6 +173,7 @@ def execute(c: Command, store: Store, channels: Channels, say=print) -> None:
         say("\n".join(shown(bytes(r["key"])) + ("" if c.op == "keys" else "\t" + shown(bytes(r["value"]))) for r in rows) or "None")
     if c.profile and profile:
         say(profile.text())
+    return profile
 
 
 def channel_command(c: Command, channels: Channels, say) -> None:
@@ -202,7 +211,10 @@ class Shell(cmd.Cmd):
                 if c.op == "clear":
                     print("\033[2J\033[H", end="")
                 return c.op == "exit"
-            execute(c, self.store, self.channels)
+            began, profile = time.monotonic(), execute(c, self.store, self.channels)
+            print(f"{profile.query_id if profile else uuid.uuid4()}  {time.monotonic() - began:.3f} s")
+        except KeyboardInterrupt:  # ends the command, not the shell
+            print("stopped")
         except (ParseError, ValueError, FileExistsError) as e:
             print(e)
         return False
@@ -217,4 +229,16 @@ def main(root: str) -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("siltlog").getOrCreate()
-    Shell(Store(spark, root), Channels(spark, root + "/channels")).cmdloop()
+    shell = Shell(Store(spark, root), Channels(spark, root + "/channels"))
+    try:
+        import readline
+
+        readline.set_history_length(HISTORY)
+        readline.set_completer_delims(" \t")
+    except ImportError:  # no line editing on this platform
+        pass
+    while True:
+        try:
+            return shell.cmdloop()
+        except KeyboardInterrupt:  # at the prompt: a new line
+            print()

@@ -77,18 +77,44 @@ def profiled(store: Store, operation: str, run: Callable[[], Any]) -> tuple[Any,
         store.spark.sparkContext.setJobDescription(None)
 
 
-def profile_read(store: Store, operation: str, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, keys_only: bool = False) -> tuple[list, Profile]:
-    """The pairs (or keys) in the range by key, with what was read and what was pruned."""
-    df = (store.keys if keys_only else store.scan)(lower, upper).orderBy("key")
+def scan_metrics(df: DataFrame) -> dict[str, int]:
+    """What the file scans of an executed DataFrame measured: files, their bytes, rows read, time."""
+    wanted = {"numFiles": "block_files", "filesSize": "block_bytes", "numOutputRows": "block_rows", "scanTime": "block_time_ms"}
+    out = dict.fromkeys(wanted.values(), 0)
+    left = [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            kids = node.children()
+            left += [kids.apply(i) for i in range(kids.length())]
+            if kind == "FileSourceScanExec":
+                held = node.metrics()
+                for name, as_name in wanted.items():
+                    if held.contains(name):
+                        out[as_name] += max(0, held.apply(name).value())
+    return out
+
+
+def profile_read(store: Store, operation: str, lower: Bound = UNBOUNDED, upper: Bound = UNBOUNDED, keys_only: bool = False, most: int = 10_000) -> tuple[list, Profile]:
+    """The first ``most`` pairs (or keys) in the range by key, with what was read and what was pruned."""
+    df = (store.keys if keys_only else store.scan)(lower, upper).orderBy("key").limit(most)
     rows, profile = profiled(store, operation, lambda: df.collect())
     opened = store.runs(lower, upper)
     pruned = [r for r in store.state.runs if r not in opened]
-    profile.counts = {"runs": len(opened), "read_bytes": sum(r.bytes for r in opened), "filter_num": len(pruned), "filter_bytes": sum(r.bytes for r in pruned), "rows": len(rows)}
+    profile.counts = {"runs": len(opened), "read_bytes": sum(r.bytes for r in opened), "filter_num": len(pruned), "filter_bytes": sum(r.bytes for r in pruned), "rows": len(rows)} | scan_metrics(df)
     profile.plan = df._jdf.queryExecution().toString()
     return rows, profile
 
 
 def profile_write(store: Store, operation: str, pairs: list[tuple[bytes, bytes]], run: Callable[[], Any]) -> tuple[Any, Profile]:
+    """What ``run`` returns, and what it wrote: pairs, the bytes of their runs, and what a flush made of them."""
+    before = {r.path for r in store.state.runs}
     result, profile = profiled(store, operation, run)
-    profile.counts = {"write_num": len(pairs), "write_bytes": sum(len(k) + len(v) for k, v in pairs)}
+    new = [r for r in store.state.runs if r.path not in before]
+    profile.counts = {"write_num": len(pairs), "write_bytes": sum(len(k) + len(v) for k, v in pairs), "run_files": len(new), "run_bytes": sum(r.bytes for r in new), "flushed_files": sum(r.level > STAGING for r in new)}
     return result, profile

@@ -62,10 +62,20 @@ class Compaction:
 
 @dataclass(frozen=True)
 class Options:
-    target_run_bytes: int = 4 << 20
+    """How the store writes and when it maintains itself.
+
+    A run aims at ``target_run_bytes``. Committed batches are flushed once they hold ``staging_limit``
+    times that, or are ``staging_files``; compaction follows until the policy rests. With ``auto`` off
+    both wait to be asked for. ``block_bytes`` is the page size within a run, ``bloom_fpp`` the share of
+    absent keys that a run's Bloom filter lets through; 0 writes no filters.
+    """
+
+    target_run_bytes: int = 256 << 20
     staging_limit: int = 3
+    staging_files: int = 64
     block_bytes: int = 16 << 10
-    bloom_keys: int = 0
+    bloom_fpp: float = 0.01
+    auto: bool = True
     compaction: Compaction = field(default_factory=Compaction)
 
 

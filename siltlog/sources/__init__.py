@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
+import zlib
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import MUTATIONS, Run
+from ..schema import MUTATIONS, Options, Run
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,6 +44,11 @@ class Files:
         at = self.path(p)
         return [(s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
+    def older(self, p: str, age: float) -> list[str]:
+        """Names of what lies in a folder and was last changed at least ``age`` seconds ago."""
+        at, last = self.path(p), (time.time() - age) * 1000
+        return [s.getPath().getName() for s in self.fs.listStatus(at) if s.getModificationTime() <= last] if self.fs.exists(at) else []
+
     def read(self, p: str) -> str:
         stream = self.fs.open(self.path(p))
         try:
@@ -81,11 +88,16 @@ class Version:
 
     def text(self) -> str:
         runs = [asdict(r) | {"first_key": r.first_key.hex(), "last_key": r.last_key.hex()} for r in self.runs]
-        return json.dumps({"number": self.number, "next_run": self.next_run, "note": self.note, "extra": self.extra, "runs": runs})
+        body = json.dumps({"number": self.number, "next_run": self.next_run, "note": self.note, "extra": self.extra, "runs": runs})
+        return f"{zlib.crc32(body.encode()):08x}\n{body}"
 
     @staticmethod
     def of(text: str) -> Version:
-        d = json.loads(text)
+        """The version of a manifest file; ValueError if its checksum isn't that of its content."""
+        crc, _, body = text.partition("\n")
+        if crc != f"{zlib.crc32(body.encode()):08x}":
+            raise ValueError("a manifest's checksum doesn't match its content")
+        d = json.loads(body)
         runs = tuple(Run(**(r | {"first_key": bytes.fromhex(r["first_key"]), "last_key": bytes.fromhex(r["last_key"])})) for r in d["runs"])
         return Version(d["number"], d["next_run"], runs, d["note"], d["extra"])
 
@@ -112,17 +124,26 @@ class Manifest:
         return version
 
 
-def write_run(df: DataFrame, path: str, files: int, bloom_keys: int = 0) -> None:
-    """Key-sorted Parquet files of disjoint key ranges. Rows of one key stay in one file."""
+def write_run(df: DataFrame, path: str, files: int, options: Options, rows: int | None = None) -> None:
+    """Key-sorted Parquet files of disjoint key ranges. Rows of one key stay in one file.
+
+    Pages hold about ``block_bytes`` and carry checksums. Each file has a Bloom filter of its keys, sized
+    by the ``rows`` of all files, or fitted by the writer to what it meets if they aren't known.
+    """
     spread = df.repartitionByRange(files, "key") if files > 1 else df.coalesce(1)
     out = spread.sortWithinPartitions("key", F.desc("seq")).write
-    if bloom_keys:
-        out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(bloom_keys))
+    out = out.option("parquet.page.size", str(options.block_bytes)).option("parquet.page.write-checksum.enabled", "true")
+    if options.bloom_fpp:
+        out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(options.bloom_fpp))
+        out = out.option("parquet.bloom.filter.expected.ndv#key", str(max(1, rows // files))) if rows is not None else out.option("parquet.bloom.filter.adaptive.enabled", "true")
     out.parquet(path)
 
 
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.schema(MUTATIONS).parquet(*paths) if paths else spark.createDataFrame([], MUTATIONS)
+    """The rows of the runs; a page that doesn't match its checksum fails the read."""
+    if not paths:
+        return spark.createDataFrame([], MUTATIONS)
+    return spark.read.schema(MUTATIONS).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
 
 
 def runs_at(spark: SparkSession, path: str, level: int, first_id: int, unique: bool) -> list[Run]:

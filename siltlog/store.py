@@ -70,9 +70,25 @@ class Store:
 
     def _commit_batch(self, log: DataFrame, files: int) -> int:
         path = f"{self.root}/runs/batch-{self.state.number + 1:020d}-{self._tag()}"
-        write_run(log, path, files)
+        write_run(log, path, files, self.options)
         new = runs_at(self.spark, path, STAGING, self.state.next_run, False)
-        return self._commit(list(self.state.runs) + new, len(new), "batch")
+        number = self._commit(list(self.state.runs) + new, len(new), "batch")
+        if self.options.auto:
+            self.maintain()
+        return number
+
+    def maintain(self) -> bool:
+        """Flush and compact as far as the thresholds ask for it; whether anything was done.
+
+        A writer that comes first makes this one give up for now: the batch is committed already.
+        """
+        before = self.state.number
+        try:
+            if self.maybe_flush() != before:
+                self.compact_all()
+        except FileExistsError:
+            self.state = self.manifest.load(self.fixed)
+        return self.state.number != before
 
     @staticmethod
     def _tag() -> str:
@@ -131,7 +147,7 @@ class Store:
         return self._rewrite(staged, 0, False, "flush")
 
     def maybe_flush(self) -> int:
-        return self.flush() if plans.pending_flush(list(self.state.runs), self.options.staging_limit) else self.state.number
+        return self.flush() if plans.pending_flush(list(self.state.runs), self.options) else self.state.number
 
     def compact(self) -> plans.Task | None:
         """Carry out the policy's next task; None if there is nothing to do."""
@@ -158,17 +174,20 @@ class Store:
             merged = merged.where(F.col("op") == PUT)
         files = max(1, math.ceil(sum(r.bytes for r in old) / self.options.target_run_bytes))
         path = f"{self.root}/runs/{note}-{self.state.number + 1:020d}-{self._tag()}"
-        write_run(merged, path, files, self.options.bloom_keys)
+        write_run(merged, path, files, self.options, sum(r.n_rows for r in old))
         new = runs_at(self.spark, path, level, self.state.next_run, True)
         return self._commit(rest + new, len(new), note)
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Delete what the last ``keep`` versions don't name; returns the folders deleted."""
+    def vacuum(self, keep: int = 1, age: float = 3600) -> list[str]:
+        """Delete what the last ``keep`` versions don't name; returns the folders deleted.
+
+        Folders younger than ``age`` seconds stay: another writer may be about to commit them.
+        """
         numbers = self.manifest.numbers()
         kept = [self.manifest.load(n) for n in numbers[-keep:]] if numbers else []
         named = {r.path.rsplit("/", 2)[1] for v in kept for r in v.runs}
         files = self.manifest.files
-        old = [n for n, _ in files.listed(f"{self.root}/runs") if n not in named]
+        old = [n for n in files.older(f"{self.root}/runs", age) if n not in named]
         for n in old:
             files.delete(f"{self.root}/runs/{n}")
         for n in numbers[:-keep]:

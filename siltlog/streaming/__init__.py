@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from ..schema import CHANNELS, MESSAGES, as_bytes
 from ..sources import Files
 
 
+#: Messages of one delivery at the most.
+PART = 4096
+
+
 def publish_ids(messages: DataFrame, channel: str, call: str, order: str) -> DataFrame:
     """``messages`` with ``msg_id``: each publish call of a channel skips one id, then takes one for each value."""
     by = Window.partitionBy(channel)
@@ -33,10 +38,18 @@ def first_seen(messages: DataFrame, channel: str, *order: str) -> DataFrame:
     return first.select(F.row_number().over(Window.orderBy("_at")).cast("long").alias("channel_id"), "channel")
 
 
+def in_parts(messages: DataFrame, deliver: Callable[[list[tuple[int, bytes]]], None]) -> None:
+    """Hand messages to ``deliver`` by id, PART at a time: the driver holds a task's rows, not all."""
+    rows = ((r["msg_id"], bytes(r["payload"])) for r in messages.orderBy("msg_id").toLocalIterator())
+    while some := list(islice(rows, PART)):
+        deliver(some)
+
+
 class Channels:
-    """Channels under ``root``. One publisher at a time for each channel; any number of readers.
+    """Channels under ``root``. Any number of publishers and readers.
 
-    The message log is append-only, so that streams can follow its folder.
+    The message log is append-only, so that streams can follow its folder. Ids are claimed before they
+    are used, by a file that can be created once only: of two publishers one claims anew.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -66,10 +79,28 @@ class Channels:
         """Register the channel if it is new; whether it was."""
         if self.exists(name):
             return False
-        last = self.names().agg(F.max("channel_id")).first()[0] or 0
-        self.spark.createDataFrame([(last + 1, name)], CHANNELS).coalesce(1).write.mode("append").parquet(self.dim_path)
+        try:
+            self.files.create(f"{self._claims(name)}/name", name)
+        except FileExistsError:  # another adder of this name was first
+            return False
+        number = self._claim(f"{self.root}/claims/ids", 1, lambda: self.names().agg(F.max("channel_id")).first()[0] or 0)
+        self.spark.createDataFrame([(number, name)], CHANNELS).coalesce(1).write.mode("append").parquet(self.dim_path)
         return True
 
+    def _claims(self, name: str) -> str:
+        return f"{self.root}/claims/channel-{name.encode().hex()}"
+
+    def _claim(self, folder: str, n: int, last: Callable[[], int]) -> int:
+        """The first of ``n`` numbers that are nobody else's; ``last`` is asked where none was claimed yet."""
+        while True:
+            names = [x for x, _ in self.files.listed(folder) if not x.endswith(".tmp")]
+            first = int(self.files.read(f"{folder}/{max(names)}")) + 1 if names else last() + 1
+            try:
+                self.files.create(f"{folder}/{first:020d}", str(first + n - 1))
+                return first
+            except FileExistsError:
+                continue
+
     def publish(self, name: str, values: list[bytes | str]) -> list[int]:
         """Append the values in order and return their ids. An empty value is refused, before any is written."""
         payloads = [as_bytes(v) for v in values]
@@ -78,8 +109,8 @@ class Channels:
         self.add(name)
         if not payloads:
             return []
-        last = self.messages().where(F.col("channel") == name).agg(F.max("msg_id")).first()[0]
-        base = 0 if last is None else last + 1
+        held = lambda: self.messages().where(F.col("channel") == name).agg(F.max("msg_id")).first()[0]
+        base = self._claim(f"{self._claims(name)}/ids", len(payloads) + 1, lambda: -1 if (last := held()) is None else last)
         ids = [base + 1 + i for i in range(len(payloads))]
         rows = [(name, i, bytearray(p)) for i, p in zip(ids, payloads)]
         self.spark.createDataFrame(rows, MESSAGES).coalesce(1).write.mode("append").parquet(self.log_path)
@@ -98,18 +129,17 @@ class Channels:
     def subscribe(self, name: str, deliver: Callable[[list[tuple[int, bytes]]], None], previous: bool = False, checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
         """Hand each batch of new messages to ``deliver``, by id; the channel is added if it is new.
 
-        With ``previous`` the first delivery is the whole backlog, if the channel was there before.
-        What the backlog held isn't delivered again. ``once`` stops at the end of what there is.
+        With ``previous`` the backlog comes first, if the channel was there before, and what it held
+        isn't delivered again. A delivery is at most PART messages. ``once`` stops at the end of what there is.
         """
         known = not self.add(name)
         last = self.backlog(name).agg(F.max("msg_id")).first()[0]
         if previous and known:
-            deliver([(r["msg_id"], bytes(r["payload"])) for r in self.backlog(name).where(F.col("msg_id") <= F.lit(last if last is not None else -1)).orderBy("msg_id").toLocalIterator()])
+            in_parts(self.backlog(name).where(F.col("msg_id") <= F.lit(last if last is not None else -1)), deliver)
         fresh = self.stream(name).where(F.col("msg_id") > F.lit(last if last is not None else -1))
 
         def batch(df: DataFrame, _: int) -> None:
-            if rows := [(r["msg_id"], bytes(r["payload"])) for r in df.orderBy("msg_id").toLocalIterator()]:
-                deliver(rows)
+            in_parts(df, deliver)
 
         writer = fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{self.root}/subscribers/{uuid.uuid4().hex}")
         return (writer.trigger(availableNow=True) if once else writer).start()

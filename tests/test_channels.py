@@ -36,3 +36,28 @@ def test_subscription_gets_what_is_new_and_the_backlog_on_request(channels, tmp_
     query.processAllAvailable()
     query.stop()
     assert fresh == [[(4, b"3")]]
+
+
+def test_claims_keep_publishers_apart(channels, monkeypatch):
+    """Another publisher comes between the reading of the last id and its claim."""
+    other = Channels(channels.spark, channels.root)
+    channels.publish("c", ["1"])
+    create, met = channels.files.create, []
+
+    def late(p, text):
+        if "/ids/" in p and not met:
+            met.append(other.publish("c", ["2", "3"]))
+        create(p, text)
+
+    monkeypatch.setattr(channels.files, "create", late)
+    assert channels.publish("c", ["4"]) == [6] and met == [[3, 4]]
+    assert [r["msg_id"] for r in channels.backlog("c").orderBy("msg_id").collect()] == [1, 3, 4, 6]
+    assert not other.add("c") and channels.show() == ["c"]
+
+
+def test_a_long_backlog_comes_in_parts(channels, monkeypatch, tmp_path):
+    monkeypatch.setattr("siltlog.streaming.PART", 2)
+    channels.publish("c", ["1", "2", "3"])
+    got = []
+    channels.subscribe("c", got.append, previous=True, checkpoint="file://" + str(tmp_path / "m"), once=True).awaitTermination()
+    assert got == [[(1, b"1"), (2, b"2")], [(3, b"3")]]

@@ -20,7 +20,7 @@ def pairs(store, *ends):
 
 
 def small(**k):
-    return Options(target_run_bytes=1 << 12, compaction=Compaction(multiplier=2, l0_trigger=2, max_levels=3, base_bytes=1 << 11), **k)
+    return Options(target_run_bytes=1 << 12, auto=False, compaction=Compaction(multiplier=2, l0_trigger=2, max_levels=3, base_bytes=1 << 11), **k)
 
 
 def test_overwrites_and_deletes_survive_reopening(spark, root):
@@ -122,7 +122,7 @@ def test_dictionary_model_and_versions(spark, root):
         store.at(number).put("x", "y")
     wanted = spark.createDataFrame([("0007",), ("0008",), ("nope",), ("0007",)], "key string")
     assert sorted(bytes(r["key"]).decode() for r in store.multi_get(wanted).collect()) == [k for k in ("0007", "0008") if k in model]
-    assert store.vacuum() and pairs(Store(spark, root)) == want
+    assert store.vacuum() == [] and store.vacuum(age=0) and pairs(Store(spark, root)) == want
 
 
 def test_large_records(spark, root):
@@ -176,3 +176,73 @@ def test_pruning_and_disjointness():
     assert plans.reaches(r, Bound.at("d"), UNBOUNDED) and not plans.reaches(r, Bound.past("d"), UNBOUNDED)
     assert plans.reaches(r, UNBOUNDED, Bound.at("b")) and not plans.reaches(r, UNBOUNDED, Bound.past("b"))
     assert plans.settled([r, run(2, 1, "e", "f", 1)]) and not plans.settled([r, run(2, 1, "d", "f", 1)])
+
+
+def test_many_puts_leave_staging_by_themselves(spark, root):
+    store = Store(spark, root, Options(staging_files=4))
+    for i in range(9):
+        store.put(f"k{i % 5}", f"v{i}")
+    assert sum(r.level == -1 for r in store.state.runs) < 4 and any(r.level >= 0 for r in store.state.runs)
+    assert pairs(store) == [(f"k{k}".encode(), f"v{max(i for i in range(9) if i % 5 == k)}".encode()) for k in range(5)]
+
+
+def test_bytes_trigger_a_flush_and_compaction_to_rest(spark, root):
+    """The shape bounds of the leveled policy: each level against the last, and the runs that a read opens."""
+    policy = Compaction(multiplier=2, l0_trigger=2, max_levels=4, base_bytes=1 << 13)
+    store = Store(spark, root, Options(target_run_bytes=1 << 13, staging_limit=1, compaction=policy))
+    for i in range(6):
+        rows = spark.range(400).select(F.lpad((F.col("id") + 100 * i).cast("string"), 8, "0").alias("key"), F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"x{i}")), 256).alias("value"), "id")
+        store.fill_from(rows, "id", files=1)
+    sizes = [sum(r.bytes for r in store.state.runs if r.level == k) for k in range(5)]
+    assert not plans.pending_flush(list(store.state.runs), store.options) and plans.next_task(list(store.state.runs), policy) is None
+    assert sizes[4] > 0 and all(sizes[k] / sizes[4] <= 0.5 ** (4 - k) + 0.5 for k in range(1, 4))
+    level0 = sum(r.level == 0 for r in store.state.runs)
+    assert level0 < policy.l0_trigger and store.scan().count() == 900
+
+
+def test_a_writer_that_comes_between_doesnt_fail_the_batch(spark, root, monkeypatch):
+    store = Store(spark, root, Options(staging_files=2))
+    store.put("a", "1")
+    flush = Store.flush
+    monkeypatch.setattr(Store, "flush", lambda self: (Store(spark, root, Options(auto=False)).put("b", "2"), flush(self))[1])
+    store.put("c", "3")
+    assert pairs(store) == [(b"a", b"1"), (b"b", b"2"), (b"c", b"3")]
+
+
+def test_blocks_filters_and_checksums(spark, root):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    store = Store(spark, root, Options(block_bytes=4096, auto=False))
+    rows = spark.range(5000).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value"), "id")
+    store.fill_from(rows, "id", files=1)
+    store.flush()
+    (path,) = [r.path for r in store.state.runs]
+    file = path.removeprefix("file:")
+    raw = open(file, "rb").read()
+    meta = pq.ParquetFile(file).metadata.row_group(0).column(3)
+    assert meta.total_compressed_size > 20 * 4096  # so that there are many pages
+    wide = Store(spark, root + "-wide", Options(block_bytes=1 << 20, bloom_fpp=0, auto=False))
+    wide.fill_from(rows, "id", files=1)
+    wide.flush()
+    assert len(raw) > len(open(wide.state.runs[0].path.removeprefix("file:"), "rb").read()) + 5000  # page headers and the filter
+    at = meta.data_page_offset + meta.total_compressed_size // 2
+    with open(file, "r+b") as f:
+        f.seek(at)
+        f.write(bytes(255 - x for x in raw[at : at + 8]))
+    for crc in glob.glob(f"{file.rsplit('/', 1)[0]}/.*.crc"):
+        __import__("os").remove(crc)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        store.scan().collect()
+
+
+def test_a_damaged_manifest_is_refused(spark, root):
+    store = Store(spark, root)
+    store.put("a", "1")
+    file = store.manifest.root.removeprefix("file://") + f"/{1:020d}.json"
+    text = open(file).read()
+    open(file, "w").write(text.replace('"next_run": 2', '"next_run": 9'))
+    __import__("os").path.exists(c := file.rsplit("/", 1)[0] + f"/.{1:020d}.json.crc") and __import__("os").remove(c)
+    with pytest.raises(ValueError, match="checksum"):
+        Store(spark, root)
