@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import functions as fn
+from . import introspect
 from . import operators as ops
 from . import plans
 from .schema import UNBOUNDED, Bound, Compaction, Options
@@ -153,7 +154,7 @@ def wal_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled_store(spark: SparkSession, sf_dir: str, batches: int = 3) -> Store:
     """A store under a scratch folder, filled with ``events`` in ``batches`` commits."""
-    store = Store(spark, scratch(spark, "store"), Options(target_run_bytes=64 << 10, compaction=Compaction(base_bytes=64 << 10)))
+    store = Store(spark, scratch(spark, "store"), Options(target_run_bytes=64 << 10, auto=False, compaction=Compaction(base_bytes=64 << 10)))
     log = event_log(spark, sf_dir)
     last = (log.agg(F.max("seq")).first()[0] or 0) + 1
     edges = [last * i // batches for i in range(batches + 1)]
@@ -185,6 +186,63 @@ def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_pairs(store.scan(Bound.at(LOW), Bound.past(HIGH)))
 
 
+def store_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key deleted, one put anew, and one put for the first time, on top of the filled store."""
+    store = filled_store(spark, sf_dir)
+    store.delete(WANTED[0])
+    store.put(HIT, "anew")
+    store.put(ABSENT, "first")
+    return text_pairs(store.scan())
+
+
+def store_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log in a store that flushes and compacts by itself."""
+    store = filled_store(spark, sf_dir, 1)
+    own = Store(spark, scratch(spark, "own"), Options(target_run_bytes=1 << 12, staging_limit=1, compaction=Compaction(base_bytes=1 << 12)))
+    log = store.log().select("key", F.when(F.col("op") == "P", F.col("value")).alias("value"), F.expr("seq % 4294967296").alias("n"))
+    own.fill_from(log, "n", files=2)
+    return text_pairs(own.scan())
+
+
+def show_memtable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the committed batches, before a flush."""
+    return introspect.memtable(filled_store(spark, sf_dir)).agg(F.sum("n_rows").alias("n_rows"))
+
+
+def show_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the sorted runs, one for each key, after a flush."""
+    store = filled_store(spark, sf_dir)
+    store.flush()
+    return introspect.sstable(store).join(store.run_table(), "run_id").agg(F.sum("n_rows").alias("n_rows"), F.sum("tombstones").alias("tombstones"))
+
+
+def show_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels, and whether they hold runs, after one flush."""
+    store = filled_store(spark, sf_dir)
+    store.flush()
+    return introspect.level(store).select("level", (F.size("run_ids") > 0).alias("held"))
+
+
+def show_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return introspect.options(Store(spark, scratch(spark, "options"))).where("name <> 'root'")
+
+
+def show_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests after three batches: one file each."""
+    files = introspect.files(filled_store(spark, sf_dir))
+    return files.where(F.col("file").endswith(".json")).select(F.regexp_replace("file", r"^0*|\.json$", "").alias("version"))
+
+
+def channels_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels added in the order in which they appear, and read by another reader."""
+    root = scratch(spark, "named")
+    channels = Channels(spark, root)
+    for r in first_seen(table(spark, sf_dir, "conversations"), "role", "conv_id", "turn").orderBy("channel_id").collect():
+        channels.add(r["channel"])
+        channels.add(r["channel"])
+    return Channels(spark, root).names()
+
+
 def channel_backlog_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A channel's messages, published to a channel log, streamed back to their end."""
     root = scratch(spark, "channels")
@@ -233,6 +291,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_scan": store_scan,
     "store_compacted": store_compacted,
     "store_range": store_range,
+    "store_put_delete": store_put_delete,
+    "store_auto": store_auto,
+    "show_memtable": show_memtable,
+    "show_sstable": show_sstable,
+    "show_level": show_level,
+    "show_options": show_options,
+    "show_files": show_files,
+    "channels_recovered": channels_recovered,
 }
 
 LOG = "log AS (SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op, props AS value, event_id // 1000 AS run FROM events)"
@@ -290,4 +356,12 @@ SELECT key, first_key, CAST(len(list_filter(range(1, 11), lambda i: key[1:i] = f
     "store_scan": live_where(),
     "store_compacted": live_where(),
     "store_range": live_where(f"key >= '{LOW}' AND key < '{HIGH}'"),
+    "store_put_delete": live_where(f"key NOT IN ('{WANTED[0]}', '{HIT}')") + f" UNION ALL VALUES ('{HIT}', 'anew'), ('{ABSENT}', 'first')",
+    "store_auto": live_where(),
+    "show_memtable": "SELECT count(*) AS n_rows FROM events",
+    "show_sstable": f"WITH {LOG}, {NEWEST} SELECT count(*) AS n_rows, count(*) FILTER (op = 'D') AS tombstones FROM newest",
+    "show_level": "SELECT CAST(l AS INTEGER) AS level, l = 0 AS held FROM (SELECT unnest(range(3)) AS l)",
+    "show_options": "SELECT * FROM (VALUES ('target_run_bytes', '268435456'), ('staging_limit', '3'), ('staging_files', '64'), ('block_bytes', '16384'), ('bloom_fpp', '0.01'), ('auto', 'True'), ('compaction.multiplier', '4'), ('compaction.l0_trigger', '2'), ('compaction.max_levels', '2'), ('compaction.base_bytes', '2097152')) AS o(name, value)",
+    "show_files": "SELECT CAST(unnest(range(1, 4)) AS VARCHAR) AS version",
+    "channels_recovered": "SELECT row_number() OVER (ORDER BY c, t) AS channel_id, channel FROM (SELECT role AS channel, min(conv_id) AS c, arg_min(turn, (conv_id, turn)) AS t FROM conversations GROUP BY role)",
 }

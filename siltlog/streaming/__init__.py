@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import CHANNELS, MESSAGES, as_bytes
-from ..sources import Files
+from ..sources import Files, scratch
 
 
 #: Messages of one delivery at the most.
@@ -19,9 +19,22 @@ PART = 4096
 
 
 def publish_ids(messages: DataFrame, channel: str, call: str, order: str) -> DataFrame:
-    """``messages`` with ``msg_id``: each publish call of a channel skips one id, then takes one for each value."""
-    by = Window.partitionBy(channel)
-    return messages.withColumn("msg_id", (F.row_number().over(by.orderBy(call, order)) + F.dense_rank().over(by.orderBy(call)) - 1).cast("long"))
+    """``messages`` with ``msg_id``: each publish call of a channel skips one id, then takes one for each value.
+
+    Calls are dealt by range and written once, numbered within their part, and moved up by what the
+    parts before hold of their channel: a channel of any size is spread over tasks, a call is whole in one.
+    """
+    spark = messages.sparkSession
+    dealt = messages.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), channel, call)
+    path = scratch(spark, "published")
+    dealt.withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.partitionBy(channel).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(channel, "__part").agg((F.count(F.lit(1)) + F.count_distinct(call)).alias("__n"))
+    parts = held.select(channel, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    by = Window.partitionBy("__part", channel)
+    inside = F.row_number().over(by.orderBy(call, order)) + F.dense_rank().over(by.orderBy(call)) - 1
+    return rows.withColumn("msg_id", inside).join(parts, [channel, "__part"]).withColumn("msg_id", (F.col("msg_id") + F.col("__before")).cast("long")).select(*messages.columns, "msg_id")
 
 
 def backlog(messages: DataFrame, channel: str) -> DataFrame:
