@@ -7,9 +7,11 @@ that it meets words as it will meet those of new texts. A text is scored in wind
 score is the greatest of them, calibrated by a logistic fit.
 
 The training sample is bounded: SAMPLE rows of each label, the first by a hash of their ids, so that
-training costs the same at any size. Scoring reads whole texts. Null and empty texts are scored as a
-window without words. Labels that are null, and rows whose id is null, don't train. Without
-both labels in the training rows all scores are the share of label 1 there, 0 if there are none.
+training costs the same at any size. Texts of more than LONGEST characters don't train, and of several
+texts with one id the least does. Scoring reads whole texts of any length, in memory in proportion to them.
+Null and empty texts are scored as a window without words. Labels that are null, and rows whose id is
+null, don't train; an id with both labels trains with either. Without both labels in the training rows
+all scores are the share of label 1 there, 0 if there are none. Other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -25,17 +27,19 @@ from xxhash import xxh3_64_intdigest
 
 from .common import slices
 
-#: Training rows of each label at the most.
-SAMPLE = 2500
+#: Training rows of each label, and characters of a text that trains, at the most.
+SAMPLE, LONGEST = 2500, 100_000
 WIDTH, STRIDE, HIDDEN, ATTEND, INPUTS = 32, 16, 8, 8, 3
 #: Parts of the training rows; each meets the tables of the others.
 FOLDS = 5
+#: Texts with an entry at which its log-odds count by half.
+RARE = 20
 #: Binary logarithm of each table's entries.
 TABLE = 18
 STEPS, BATCH, RATE, SEED = 160, 512, 0.02, 11
 #: Entries at which the word cache is emptied, and windows that are scored together.
 WORDS, TOGETHER = 400_000, 1 << 14
-EDGES = b".,!?;:\"'()[]"
+EDGES = b".,!?;:\"'()[]#*$%&|<>"
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
@@ -196,9 +200,9 @@ def log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     none = np.zeros(0, np.int64)
     counts = [np.bincount(np.concatenate([none, *(i for i, k in zip(ids, y) if k == side)]), minlength=1 << TABLE) for side in (0, 1)]
     n = [int((y == side).sum()) for side in (0, 1)]
-    odds = np.log((counts[1] + 2) / (n[1] + 4)) - np.log((counts[0] + 2) / (n[0] + 4))
+    odds = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
     seen = counts[0] + counts[1]
-    return np.clip(odds * seen / (seen + 4), -4, 4).astype(np.float32)
+    return np.clip(odds * seen / (seen + RARE), -4, 4).astype(np.float32)
 
 
 class Model:
@@ -207,7 +211,7 @@ class Model:
     def __init__(self, texts: list[str | None], labels: list[int]):
         y = np.array(labels, np.int64)
         self.constant = float(y.mean()) if len(y) else 0.0
-        if len(y) < 20 or y.min() == y.max():
+        if not len(y) or y.min() == y.max():
             self.net = None
             return
         rng = np.random.default_rng(SEED)
@@ -259,8 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "to
     """A model from at most ``sample`` rows of each label that satisfy ``train_on``. labels: doc_id, label."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & train_on).distinct()
     picked = [rows.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    # Two rows of one id with different labels, or two texts of one id, are both taken.
-    found = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy("doc_id", "_y", "text").collect()
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    one = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    found = one.orderBy("doc_id", "_y").collect()
     return Model([r["text"] for r in found], [r["_y"] for r in found])
 
 
