@@ -8,8 +8,10 @@ least half of their pages. Edges are links in the pages between hosts, and, both
 its parent host where both have pages.
 
 A null url, and one without ``://``, has an empty host and path, fits no rule and is allowed, as is
-every page whose host the propagation doesn't reach. Null html has no links. Repeated rows get
-equal verdicts; an empty table gives an empty one.
+every page whose host the propagation doesn't reach. Null html has no links; long html is searched whole.
+Repeated rows get equal verdicts; an empty table gives an empty one. Other columns than page_id, url and
+html aren't looked at. Pages of a hot host meet its score by broadcast; a host with very many links is
+split by Spark's handling of skewed joins.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More rules than this are refused: rules are compiled into the plan.
-MOST_RULES = 2000
+#: Rules that are compiled into the plan; more of them are joined by the suffixes of the hosts.
+COMPILED = 200
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
-    """The text and the verdict of the rule that decides, or nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are compiled into a plan")
+    """The text and the verdict of the rule that decides, or nulls. Of rules alike, block decides."""
     text = verdict = F.lit(None).cast("string")
-    for r in sorted(set(rules), key=lambda r: len(r.text)):
+    for r in sorted(set(rules), key=lambda r: (len(r.text), r.text, r.verdict)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         text, verdict = F.when(fits, r.text).otherwise(text), F.when(fits, r.verdict).otherwise(verdict)
     return text, verdict
@@ -66,10 +66,26 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
 def judged_by_rules(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     df = pages.withColumns({"host": host, "path": path})
+    if len(rules) > COMPILED:
+        return judged_by_join(df, rules)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     return df.withColumns({"rule": rule, "_ruled": verdict})
 
 
+def judged_by_join(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """As by compiled rules, for any number of them: each host is joined once with the rules of its suffixes."""
+    known = df.sparkSession.createDataFrame([(r.host, r.path, len(r.text), r.text, r.verdict) for r in set(rules)], "suffix string, start string, size int, text string, verdict string")
+    hosts = df.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = hosts.select("host", "_n", F.explode(ends).alias("suffix"))
+    own = suffixes.join(known, "suffix").groupBy("host", "_n").agg(F.collect_list(F.struct("size", "text", "verdict", "start")).alias("_rules"))
+    fits = F.filter("_rules", lambda r: F.col("path").startswith(r["start"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["text"].alias("text"), r["verdict"].alias("verdict"))))
+    found = spread_join(df, cut(own, "rules"), ["host"], "left").withColumn("_best", best)
+    return found.select(*df.columns, F.col("_best.text").alias("rule"), F.col("_best.verdict").alias("_ruled"))
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) of different hosts from the pages' absolute links. Needs host and html."""
     links = F.regexp_extract_all("html", F.lit(r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))
@@ -79,27 +95,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", host_and_path(url)[0].alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
-    """(kind, host, score) after ``rounds`` of personalised PageRank.
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, back: tuple[str, ...] = (), rest: float = 0.02) -> DataFrame:
+    """(kind, host, score) by personalised PageRank: when four rounds move less than ``rest`` of each kind's mass, or after ``rounds``.
 
     seeds: (kind, host, weight); edges: (kind, src, dst, share), shares of a source (of exposure: of a
     target) adding up to 1.
-    Weights are scaled to a sum of 1 for each kind. Mass at hosts without edges is not passed on.
+    Weights are scaled to a sum of 1 for each kind. Mass at hosts without edges goes back to the seeds of
+    the kinds in ``back``, and isn't passed on of others.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("_all"))
     seeds = cut(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("_all")).alias("score")), "seeds")
     edges = cut(edges, "edges")
-    restart = seeds.withColumn("score", F.col("score") * (1 - damping))
-    state = seeds
-    for i in range(rounds):
-        passed = state.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        state = passed.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
-            state = cut(state, "ranks")
+    sources = cut(edges.select("kind", F.col("src").alias("host")).distinct(), "sources")
+    state, done = seeds, 0
+    while done < rounds:
+        after = state
+        for _ in range(min(4, rounds - done)):
+            done += 1
+            passed = after.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            ends = after.where(F.col("kind").isin(*back)) if back else after.limit(0)
+            lost = ends.join(sources, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("score").alias("_lost"))  # a row for each kind
+            again = F.col("score") * (1 - damping + damping * F.coalesce("_lost", F.lit(0.0)))
+            restart = seeds.join(F.broadcast(lost), "kind", "left").select("kind", "host", again.alias("score"))
+            after = passed.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        after = cut(after, "ranks")
+        moved = after.unionByName(state.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).groupBy("kind").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0]
+        state = after
+        if (moved or 0.0) < rest:
+            break
     return state
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, ratio: float = 2.0, least: float = 0.05) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 100, ratio: float = 2.0, least: float = 0.05) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages`` (page_id, url, html).
 
     A host is blocked if its exposure is at least ``ratio`` times its trust and ``least`` times the mean
@@ -108,7 +135,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, ra
     """
     rows = judged_by_rules(pages.select("page_id", "url", "html"), rules)
     share = lambda verdict: F.avg(F.when(F.col("_ruled") == verdict, 1.0).otherwise(0.0))
-    hosts = cut(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("_allow"), share("block").alias("_block")), "hosts")
+    hosts = cut(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("_allow"), share("block").alias("_block"), F.count(F.lit(1)).alias("_n")), "hosts")
     seeds = hosts.where("_allow >= 0.5").select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("weight"))
     blocked = F.explode(F.array(F.lit("distrust"), F.lit("exposure"))).alias("kind")
     seeds = seeds.unionByName(hosts.where("_block >= 0.5").select(blocked, "host", F.lit(1.0).alias("weight")))
@@ -120,12 +147,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 8, ra
     edges = both.join(degree, ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("_n")).alias("share"))
     own = links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("_n")), "src")
     edges = edges.unionByName(own.select(F.lit("exposure").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("_n")).alias("share")))
-    ranks = propagate(seeds, edges, rounds)
+    ranks = propagate(seeds, edges, rounds, back=("trust", "distrust"))
     of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)), 12)
     n = seeds.agg(F.count(F.when(F.col("kind") == "distrust", 1)).alias("_n"))  # one row
     scores = ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"), of("exposure").alias("_exposure")).join(F.broadcast(n))
     bad = (F.col("_exposure") > 0) & (F.col("_exposure") >= ratio * F.col("trust")) & (F.col("_exposure") * F.col("_n") >= least)
-    scores = cut(scores.select("host", "trust", "distrust", bad.alias("_bad")), "scores")
-    out = judged_by_rules(pages.select("page_id", "url"), rules).join(scores, "host", "left")
+    scores = scores.select("host", "trust", "distrust", bad.alias("_bad")).join(hosts.select("host", "_n"), "host")
+    out = spread_join(judged_by_rules(pages.select("page_id", "url"), rules), cut(scores, "scores"), ["host"], "left")
     own = F.when(F.coalesce("_bad", F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
