@@ -76,6 +76,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each url and the rule that fits, without the method's verdict."""
+    return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_substrings": op2_substrings,
@@ -87,9 +96,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "url_rules": url_rules,
+    "secret_counts": secret_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality": quality.oracle(),
     "op6_decontamination": decontaminate.oracle(),
+    "url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule) AS (VALUES ('com/'), ('example.com/en/'), ('www.example.com/en/'), ('net/es/'), ('net/fr/')),
+f AS (SELECT page_id, host, path, rule FROM p, r WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))),
+b AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule FROM f GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, b.rule FROM p LEFT JOIN b ON p.page_id = b.page_id AND p.host = b.host AND p.path = b.path""",
+    "secret_counts": r"""
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 }
