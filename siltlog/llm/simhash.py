@@ -208,21 +208,26 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
+def nearest(edges: DataFrame) -> DataFrame:
+    """(u, m, _n): the least neighbour of each node of the edges (u, v), and its edges."""
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "nearest")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b), root being the least node of the component.
 
     Alternates large and small stars until nothing changes, which takes about the logarithm of the
-    nodes in rounds; each round is cut off in a table, which the next one's replaces.
+    nodes in rounds; each round is cut off in a table, which the next one's replaces. A star of any
+    size meets its centre's least neighbour by broadcast, or, beyond what is broadcast, spread over tasks.
     """
     spark, before = edges.sparkSession, None
     with made() as paths:
         state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
         while True:
             both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            lower = large.groupBy("u").agg(F.min("v").alias("m"))
-            stars = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            large = spread_join(both.where("v > u"), nearest(both), ["u"]).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+            large = cut(large.distinct(), "large")
+            stars = spread_join(large, nearest(large), ["u"]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
             state = cut(stars, "stars")
             now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             drop(spark, paths[:-1])

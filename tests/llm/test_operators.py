@@ -419,7 +419,10 @@ def test_gray_order():
     assert (np.bitwise_count(ranked[1:] ^ ranked[:-1]) == 1).all()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("broadcast", [common.BROADCAST, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST", broadcast)
+    monkeypatch.setattr(common, "HOT", 25)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {201: 200} or all(got.get(i, i) == (0 if i <= 40 else 100 if i < 160 else 200) for i in [*range(41), *range(100, 160), 200, 201])
