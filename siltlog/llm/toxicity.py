@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained here in NumPy.
 
-Inputs of a word are what a word table says of it, and the mean and the greatest of what a table of
-its character four-grams says. The tables are smoothed log-odds, fitted on the training rows; the
-network is trained on windows of each part of those rows with tables fitted on the other parts, so
+Inputs of a word are a vector that is learned with the network, the sum of one for the word and the
+mean of those for its character four-grams; what a word table says of it; and the mean and the greatest
+of what a table of its four-grams says. Those tables are smoothed log-odds, fitted on the training rows;
+the network is trained on windows of each part of those rows with tables fitted on the other parts, so
 that it meets words as it will meet those of new texts. A text is scored in windows of WIDTH words, each half over the last; its
 score is the greatest of them, calibrated by a logistic fit.
 
@@ -29,14 +30,19 @@ from .common import slices
 
 #: Training rows of each label, and characters of a text that trains, at the most.
 SAMPLE, LONGEST = 2500, 100_000
-WIDTH, STRIDE, HIDDEN, ATTEND, INPUTS = 32, 16, 8, 8, 3
+WIDTH, STRIDE, HIDDEN, ATTEND = 32, 16, 8, 8
+#: Inputs of a word from the log-odds, the length of its learned vector, and both.
+SAID, LEARNED = 3, 4
+INPUTS = SAID + LEARNED
 #: Parts of the training rows; each meets the tables of the others.
 FOLDS = 5
 #: Texts with an entry at which its log-odds count by half.
 RARE = 20
-#: Binary logarithm of each table's entries.
-TABLE = 18
+#: Binary logarithms of the entries of each table of log-odds, and of learned vectors.
+TABLE, VECTORS = 18, 12
 STEPS, BATCH, RATE, SEED = 160, 512, 0.02, 11
+#: The rate of learned vectors, and the share of words that train without theirs; chosen across parts of training rows.
+SLOW, DROP = 0.0005, 0.5
 #: Entries at which the word cache is emptied, and windows that are scored together.
 WORDS, TOGETHER = 400_000, 1 << 14
 EDGES = b".,!?;:\"'()[]#*$%&|<>"
@@ -62,13 +68,38 @@ def split(text: str | None) -> list[bytes]:
     return [w.strip(EDGES) or w for w in (text or "").lower().encode("utf-8", "surrogatepass").split()]
 
 
+class Lexicon:
+    """Entries of distinct words, and of the four-grams of each, in the tables."""
+
+    def __init__(self, words: list[bytes]):
+        self.word = word_ids(words)
+        self.gram, self.begin = gram_ids(words)
+        self.sizes = np.diff(np.concatenate([self.begin, [len(self.gram)]]))
+
+    def grams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The four-grams of some words, end to end, where each word's begin, and how many each has."""
+        sizes = self.sizes[some]
+        begin = np.cumsum(sizes) - sizes
+        return self.gram[np.repeat(self.begin[some] - begin, sizes) + np.arange(sizes.sum())], begin, sizes
+
+
+def vectors(word: np.ndarray, gram: np.ndarray, lexicon: Lexicon, some: np.ndarray) -> np.ndarray:
+    """The learned vectors of some words, from those of words and four-grams."""
+    if not len(some):
+        return np.zeros((0, LEARNED), word.dtype)
+    ids, begin, sizes = lexicon.grams(some)
+    cut = np.uint64(TABLE - VECTORS)
+    return word[lexicon.word[some] >> cut] + np.add.reduceat(gram[ids >> cut], begin) / sizes[:, None].astype(word.dtype)
+
+
 class Inputs:
-    """Inputs of words, kept for words seen before."""
+    """Inputs of words, kept for words seen before; without learned vectors only what the log-odds say."""
 
-    def __init__(self, tables: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, tables: tuple[np.ndarray, np.ndarray], learned: tuple[np.ndarray, np.ndarray] | None = None):
         self.word, self.gram = tables
+        self.learned = learned
         self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((0, INPUTS), np.float32)
+        self.rows = np.zeros((0, INPUTS if learned else SAID), np.float32)
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
         if len(self.known) > WORDS:
@@ -76,10 +107,11 @@ class Inputs:
         known = self.known
         new = [w for w in set(chain.from_iterable(texts)) if w not in known]
         if new:
-            ids, begin = gram_ids(new)
-            said = self.gram[ids]
-            sizes = np.diff(np.concatenate([begin, [len(ids)]]))
-            rows = np.stack([self.word[word_ids(new)], np.add.reduceat(said, begin) / sizes, np.maximum.reduceat(said, begin)], 1)
+            lexicon = Lexicon(new)
+            said = self.gram[lexicon.gram]
+            rows = np.stack([self.word[lexicon.word], np.add.reduceat(said, lexicon.begin) / lexicon.sizes, np.maximum.reduceat(said, lexicon.begin)], 1)
+            if self.learned:
+                rows = np.concatenate([rows, vectors(*self.learned, lexicon, np.arange(len(new)))], 1)
             known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             self.rows = np.concatenate([self.rows, rows.astype(np.float32)])
         n = sum(map(len, texts))
@@ -95,10 +127,10 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def batch(x: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(WIDTH, INPUTS, windows) and the mask (WIDTH, windows); a window without words is one empty word."""
+    """(WIDTH, inputs, windows) and the mask (WIDTH, windows); a window without words is one empty word."""
     at = start[None, :] + np.arange(WIDTH)[:, None]
     mask = (np.arange(WIDTH)[:, None] < length[None, :]).astype(np.float32)
-    rows = x[np.minimum(at, len(x) - 1)] if len(x) else np.zeros((*at.shape, INPUTS), np.float32)
+    rows = x[np.minimum(at, len(x) - 1)] if len(x) else np.zeros((*at.shape, x.shape[1]), np.float32)
     out = np.ascontiguousarray((rows * mask[:, :, None]).transpose(0, 2, 1))
     mask[0] = 1
     return out, mask
@@ -108,6 +140,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+class Windows:
+    """The windows of training texts: what the log-odds say of their words, and which words they are."""
+
+    def __init__(self, texts: list[list[bytes]], said: np.ndarray):
+        known = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+        start, length, self.first = windows(np.array([len(t) for t in texts], np.int64))
+        self.lexicon = Lexicon(list(known))
+        self.said, self.mask = batch(said, start, length)
+        word = np.array([*map(known.__getitem__, chain.from_iterable(texts)), -1], np.int64)
+        inside = np.arange(WIDTH)[:, None] < length[None, :]
+        #: The word at each place of each window, -1 for none.
+        self.word = word[np.where(inside, start[None, :] + np.arange(WIDTH)[:, None], len(word) - 1)]
+
+    def inputs(self, some: np.ndarray, net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All inputs of some windows, their distinct words, and which of those, the last for none, is where."""
+        words, at = np.unique(self.word[:, some], return_inverse=True)
+        none = int(len(words) > 0 and words[0] == -1)
+        words, at = words[none:], at.reshape(WIDTH, len(some)) - none
+        rows = np.concatenate([vectors(net.p["word"], net.p["gram"], self.lexicon, words), np.zeros((1, LEARNED), np.float32)])
+        return np.concatenate([self.said[:, :, some], rows[at].transpose(0, 2, 1)], 1), words, at
+
+
 class Net:
     """The network; parameters by name, all float32."""
 
@@ -115,6 +169,7 @@ class Net:
         h = HIDDEN
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-1])).astype(np.float32)
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("W", draw(3 * h, INPUTS)), ("U", draw(3 * h, h)), ("c", np.zeros((3 * h, 1), np.float32)))}
+        self.p |= {k: 0.1 * draw(1 << VECTORS, LEARNED) for k in ("word", "gram")}
         self.p |= {"A": draw(ATTEND, 2 * h), "a": np.zeros((ATTEND, 1), np.float32), "v": draw(1, ATTEND), "w": draw(1, 2 * h), "o": np.zeros((1, 1), np.float32)}
 
     def run(self, x: np.ndarray, mask: np.ndarray, back: str, keep: list | None) -> np.ndarray:
@@ -161,6 +216,7 @@ class Net:
         du = (p["v"].T * de[:, None]) * (1 - u * u)
         g["v"], g["A"], g["a"] = np.einsum("tn,tkn->k", de, u)[None], np.einsum("tkn,thn->kh", du, hs), du.sum((0, 2))[:, None]
         dhs = hs * 0 + dp * weight[:, None] + np.matmul(p["A"].T, du)
+        g["x"] = np.zeros_like(x)
         for k, back in enumerate("fb"):
             gW, gU, gc = (np.zeros_like(p[q + back]) for q in "WUc")
             later = np.zeros((h, n), np.float32)
@@ -173,23 +229,40 @@ class Net:
                 dgates = np.concatenate([dz, dr, dnew])
                 dheld = np.concatenate([dz, dr, dnew * r])
                 gW += dgates @ x[t].T
+                g["x"][t] += p["W" + back].T @ dgates
                 gc += dgates.sum(1, keepdims=True)
                 gU += dheld @ state.T
                 later = total * (1 - mask[t]) + dafter * z + p["U" + back].T @ dheld
             g |= {"W" + back: gW, "U" + back: gU, "c" + back: gc}
         return g, float(np.mean(np.logaddexp(0, logit) - y * logit))
 
-    def train(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rng: np.random.Generator, steps: int = STEPS) -> None:
-        """Adam over random batches with as many windows of either label."""
+    def learn(self, dx: np.ndarray, lexicon: Lexicon, some: np.ndarray) -> dict:
+        """Gradients of the learned vectors, from those of the vectors of some words."""
+        ids, _, sizes = lexicon.grams(some)
+        cut = np.uint64(TABLE - VECTORS)
+        g = {k: np.zeros_like(self.p[k]) for k in ("word", "gram")}
+        np.add.at(g["word"], lexicon.word[some] >> cut, dx)
+        np.add.at(g["gram"], ids >> cut, np.repeat(dx / sizes[:, None], sizes, 0))
+        return g
+
+    def train(self, windows: Windows, y: np.ndarray, use: np.ndarray, rng: np.random.Generator, steps: int = STEPS) -> None:
+        """Adam over random batches with as many of the windows ``use`` of either label."""
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        sides = [np.flatnonzero(y == k) for k in (0, 1)]
+        sides = [use[y[use] == k] for k in (0, 1)]
         for i in range(1, steps + 1):
             some = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
-            g, _ = self.gradients(x[:, :, some], mask[:, some], y[some])
+            x, words, at = windows.inputs(some, self)
+            used = rng.random(at.shape) >= DROP
+            x[:, SAID:] *= used[:, None]
+            g, _ = self.gradients(x, windows.mask[:, some], y[some])
+            dx = np.zeros((len(words) + 1, LEARNED), np.float32)
+            np.add.at(dx, at, (g.pop("x")[:, SAID:] * used[:, None]).transpose(0, 2, 1))
+            g |= self.learn(dx[:-1], windows.lexicon, words)
             for k, d in g.items():
                 m[k] += 0.1 * (d - m[k])
                 v[k] += 0.01 * (d * d - v[k])
-                self.p[k] -= (RATE * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+                rate = SLOW if k in ("word", "gram") else RATE
+                self.p[k] -= (rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
 
 
 def log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -225,25 +298,25 @@ class Model:
         for side in (0, 1):
             part[y == side] = rng.permutation(np.arange((y == side).sum()) % FOLDS)
         rest = np.argsort(part, kind="stable")
-        x = np.concatenate([Inputs(tables(np.flatnonzero(part != k))).of([words[i] for i in np.flatnonzero(part == k)]) for k in range(FOLDS)])
-        start, length, first = windows(np.array([len(words[i]) for i in rest], np.int64))
-        xs, mask = batch(x, start, length)
-        of = np.repeat(np.arange(len(rest)), np.diff(np.concatenate([first, [len(start)]])))
+        said = np.concatenate([Inputs(tables(np.flatnonzero(part != k))).of([words[i] for i in np.flatnonzero(part == k)]) for k in range(FOLDS)])
+        met = Windows([words[i] for i in rest], said)
+        first, n = met.first, met.mask.shape[1]
+        of = np.repeat(np.arange(len(rest)), np.diff(np.concatenate([first, [n]])))
         # Of a text with label 1 the window with the strongest words stands for it, of others all do.
-        strong = xs.max(0).sum(0)
-        top = np.zeros(len(start), bool)
-        top[[a + int(np.argmax(strong[a:b])) for a, b in zip(first, [*first[1:], len(start)])]] = True
-        use = np.flatnonzero(top | (y[rest][of] == 0))
+        strong = met.said.max(0).sum(0)
+        top = np.zeros(n, bool)
+        top[[a + int(np.argmax(strong[a:b])) for a, b in zip(first, [*first[1:], n])]] = True
         self.net = Net(rng)
-        self.net.train(xs[:, :, use], mask[:, use], y[rest][of[use]].astype(np.float32), rng)
-        most = np.maximum.reduceat(self.logits(xs, mask), first)
+        self.net.train(met, y[rest][of].astype(np.float32), np.flatnonzero(top | (y[rest][of] == 0)), rng)
+        logits = [self.net.forward(met.inputs(some, self.net)[0], met.mask[:, some]) for some in np.split(np.arange(n), range(TOGETHER, n, TOGETHER))]
+        most = np.maximum.reduceat(np.concatenate(logits), first)
         self.scale, self.shift = 1.0, 0.0
         for _ in range(300):  # logistic calibration of the greatest logit
             d = sigmoid(self.scale * most + self.shift) - y[rest]
             self.scale, self.shift = max(0.05, self.scale - 0.2 * float((d * most).mean())), self.shift - 0.2 * float(d.mean())
 
-    def logits(self, xs: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.net.forward(xs[:, :, i : i + TOGETHER], mask[:, i : i + TOGETHER]) for i in range(0, xs.shape[2], TOGETHER)])
+    def inputs(self) -> Inputs | None:
+        return Inputs(self.tables, (self.net.p["word"], self.net.p["gram"])) if self.net is not None else None
 
     def scores(self, texts: list[str | None], inputs: Inputs | None) -> np.ndarray:
         if self.net is None:
@@ -275,7 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        inputs = Inputs(model.tables) if model.net is not None else None
+        inputs = model.inputs()
         for b in slices(batches, most=4 << 20):
             found = model.scores(b.column("text").to_pylist(), inputs)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])

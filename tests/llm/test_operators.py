@@ -530,7 +530,9 @@ def test_gradients():
     mask = (np.arange(toxicity.WIDTH)[:, None] < np.array([32, 5, 1, 20])).astype(float)
     y = np.array([0, 1, 1, 0.0])
     g, _ = net.gradients(x, mask, y)
-    for k, v in net.p.items():
+    g.pop("x")
+    for k in g:
+        v = net.p[k]
         at = tuple(rng.integers(0, s) for s in v.shape)
         side = []
         for e in (1e-3, -1e-3):
@@ -540,6 +542,37 @@ def test_gradients():
         assert abs(g[k][at] - (side[0] - side[1]) / 2e-3) < 1e-4
 
 
+def test_gradients_of_learned_vectors():
+    rng = np.random.default_rng(1)
+    net = toxicity.Net(rng)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = [[b"you", b"are", b"you"], [], [b"fine", b"a"] * 30]
+    met = toxicity.Windows(texts, rng.standard_normal((63, toxicity.SAID)))
+    some, y = np.arange(met.mask.shape[1]), rng.integers(0, 2, met.mask.shape[1])
+    x, words, at = met.inputs(some, net)
+    g, _ = net.gradients(x, met.mask, y)
+    dx = np.zeros((len(words) + 1, toxicity.LEARNED))
+    np.add.at(dx, at, g["x"][:, toxicity.SAID :].transpose(0, 2, 1))
+    for k, d in net.learn(dx[:-1], met.lexicon, words).items():
+        for i in zip(*(a[:8] for a in np.nonzero(d))):
+            side = []
+            for e in (1e-3, -1e-3):
+                net.p[k][i] += e
+                side.append(net.gradients(met.inputs(some, net)[0], met.mask, y)[1])
+                net.p[k][i] -= e
+            assert abs(d[i] - (side[0] - side[1]) / 2e-3) < 1e-4
+
+
+def test_scoring_meets_words_as_training_does():
+    texts = ["you are a moron", "", "a fine day " * 20, "no"]
+    model = toxicity.Model(texts * 3, [1, 0, 0, 1] * 3)
+    words = [toxicity.split(t) for t in texts]
+    inputs = model.inputs()
+    met = toxicity.Windows(words, toxicity.Inputs(model.tables).of(words))
+    x, mask = toxicity.batch(inputs.of(words), *toxicity.windows(np.array([len(w) for w in words]))[:2])
+    assert np.allclose(x, met.inputs(np.arange(x.shape[2]), model.net)[0], atol=1e-5) and (mask == met.mask).all()
+
+
 def test_windows_cover_every_word():
     sizes = np.array([0, 1, 16, 31, 32, 33, 48, 49, 200])
     start, length, first = toxicity.windows(sizes)
