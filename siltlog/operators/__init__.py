@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, PUT, UNBOUNDED, Bound
+from ..sources import scratch
 
 
 def literal(key: bytes, kind: str) -> Column:
@@ -72,9 +73,30 @@ def tombstones(log: DataFrame) -> DataFrame:
     return latest(log).where(F.col("op") == DELETE).select("key", "seq")
 
 
+def dealt(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """``df`` written once by range of ``order``, with the ordinal ``__part`` of each row's range."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    rows = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__part", F.spark_partition_id())
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def history(log: DataFrame) -> DataFrame:
-    """All versions, ``version`` 1 being the newest of its key."""
-    return log.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))))
+    """All versions, ``version`` 1 being the newest of its key.
+
+    Rows are dealt by range of key and seq, and numbered within their part: a key of any size is spread
+    over tasks. Only the first key of a part can have begun before it; its rows move up by what the parts
+    before hold of it, a table of at most two rows a part.
+    """
+    rows = dealt(log, F.col("key"), F.desc("seq"), name="history")
+    firsts = rows.groupBy("__part").agg(F.min("key").alias("key")).select("key").distinct()
+    held = rows.join(F.broadcast(firsts), "key", "left_semi").groupBy("key", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = held.select("key", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part", "key").orderBy(F.desc("seq")))
+    numbered = rows.withColumn("version", inside).join(F.broadcast(moved), ["key", "__part"], "left")
+    return numbered.withColumn("version", (F.col("version") + F.coalesce("__before", F.lit(0))).cast("int")).select(*log.columns, "version")
 
 
 def concat(*runs: DataFrame) -> DataFrame:
@@ -111,6 +133,23 @@ def overlapping(meta: DataFrame, lower: Bound = UNBOUNDED, upper: Bound = UNBOUN
 
 
 def overlapping_pairs(meta: DataFrame, run: str = "run") -> DataFrame:
-    """Pairs of runs (a < b) whose key ranges meet. Made for tables of runs, which are small."""
-    a, b = (meta.select(F.col(run).alias(x), F.col("first_key").alias(f"{x}_first"), F.col("last_key").alias(f"{x}_last")) for x in "ab")
-    return a.join(b, (F.col("a") < F.col("b")) & (F.col("a_first") <= F.col("b_last")) & (F.col("b_first") <= F.col("a_last"))).select("a", "b")
+    """Pairs of runs (a < b) whose key ranges, bounds included, meet.
+
+    A sweep over the bounds in their order. The runs that meet one and begin after it follow it in the
+    order of first keys, up to the number that have begun by its last key: they are joined by that
+    ordinal, so that only pairs that meet are made. Bounds are counted by parts, none in one task.
+    """
+    bound = lambda key, end: F.struct(F.col(key).alias("key"), F.lit(end).alias("end"))
+    bounds = meta.select(F.col(run).alias("run"), F.explode(F.array(bound("first_key", False), bound("last_key", True))).alias("at")).select("run", "at.key", "at.end")
+    order = [F.col("key"), F.col("end"), F.col("run")]
+    rows = dealt(bounds, *order, name="bounds")
+    begun = F.sum((~F.col("end")).cast("long"))
+    before = rows.groupBy("__part").agg(begun.alias("__n"))
+    # One row for each part.
+    before = before.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = begun.over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    at = rows.withColumn("at", inside).join(F.broadcast(before), "__part").select("run", "end", (F.col("at") + F.col("__before")).alias("at"))
+    one = at.groupBy("run").agg(F.min(F.when(~F.col("end"), F.col("at"))).alias("at"), F.max(F.when(F.col("end"), F.col("at"))).alias("to"))
+    met = one.where(F.col("to") > F.col("at")).select(F.col("run").alias("x"), F.explode(F.sequence(F.col("at") + 1, F.col("to"))).alias("at"))
+    pairs = met.join(one.select(F.col("run").alias("y"), "at"), "at")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
