@@ -24,7 +24,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of null and of repeated ids are told apart by their texts; of rows alike in both one stays.
     Near copies have a Jaccard similarity of 0.8 or more on five-word shingles; candidates come from
-    MinHash bands, as SimHash fingerprints within 2 bits find few of them (README).
+    many SimHash fingerprints a text and their index in Gray order, each decided on the sets (README).
     """
     return near_copies.one_of_each(docs)
 

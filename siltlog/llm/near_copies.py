@@ -1,22 +1,27 @@
-"""Near copies by word shingles: MinHash bands for candidates, each decided by its exact Jaccard similarity.
+"""Near copies by word shingles: SimHash fingerprints for candidates, each decided by its exact Jaccard similarity.
 
-The near-duplicate stage's candidate search. SimHash fingerprints can't serve it: at a Jaccard similarity
-of 0.8 two 64-bit fingerprints differ in about 10 bits, where an index by differing bits returns
-everything, and within the 2 bits of ``simhash.group`` lie few near copies. Hashes and components are
-that module's.
+The near-duplicate stage's search. At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in about
+10 bits, and within the 2 bits of ``simhash.group`` lie few near copies; so each set gets many fingerprints,
+and links of up to RADIUS bits are looked for. Hashes, fingerprints, the index in Gray order and components
+are that module's.
 
 Two rows link if the sets of their five-word shingles have a Jaccard similarity of THRESHOLD or more;
 rows form the components of these links. Words are split at ASCII white space, ASCII letters without
 case; a text of fewer words, but one at least, has its whole sequence as its shingle. Texts without
 words, null ones too, are copies of one another.
 
-Finding the links. Rows of equal sets are one class. Of each class WIDTH times BANDS least hash values
-are taken, and classes that agree in all values of a band share a bucket: a pair at 0.8 shares none of
-32 with probability 5e-8, a closer one more rarely. Buckets of equal members count once.
-
-1. Each member is compared with its bucket's least one, by joins on the sets: a bucket of any size
-   is spread over tasks. For most buckets that settles it.
-2. Where members of a bucket are still in different components, those that aren't in the least one's
+Finding the links. Rows of equal sets are one class. Each class has PRINTS fingerprints, of its hashes
+mixed anew for each. A fingerprint goes once to each of its BLOCKS blocks of bits, keyed by it, and within
+a key the hierarchical index in Gray order finds those within RADIUS bits; they and what they link to are a
+bucket. A pair at 0.8 meets in no bucket with probability 5e-8 where a bit differs as often as the angle
+between large sets says (0.15), a closer pair more rarely. Fingerprints of few shingles differ more often, at
+4 of 5 in 0.19 of the bits, so sets of up to FEW have MORE fingerprints, which leaves 5e-7 there. Buckets of
+equal members count once. Keys that no task should hold are buckets without a search.
+
+1. Each member is compared with the middle one, that in the most and largest buckets, of one of its buckets,
+   by joins on the sets: a bucket of any size is spread over tasks. Rounds follow for middle ones that aren't
+   in the member's component yet, while one comparison in JOINS finds a link.
+2. Where members of a bucket are still in different components, those that aren't in the middle one's
    are compared with all, in blocks of BLOCK by BLOCK members: no task holds more. Only a spanning set of
    links leaves a task, so that no table of pairs is made.
 
@@ -36,38 +41,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, row_key, slices, small, spread_join
-from .simhash import components, shingle_hashes
+from .simhash import components, joined, majority, masks, shingle_hashes
 
 KEY = ["_k1", "_k2"]
-SHINGLE, THRESHOLD, BANDS, WIDTH = 5, 0.8, 32, 4
-_RNG = np.random.default_rng(42)
-#: Odd factors: one for each hash value, and one for each value within its band's key.
-HASHES, KEYS = (_RNG.integers(0, 1 << 63, BANDS * WIDTH, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
-#: Shingles that are hashed together.
-TOGETHER = 2048
+SHINGLE, THRESHOLD, PRINTS, RADIUS, BLOCKS = 5, 0.8, 58, 12, 4
+#: Fingerprints of a set of up to FEW shingles.
+MORE, FEW = 112, 80
+#: Two odd factors for each fingerprint, and for each block the mask of its bits.
+MIX = np.random.default_rng(42).integers(0, 1 << 63, (MORE, 2), np.uint64) << np.uint64(1) | np.uint64(1)
+MASKS = np.array(masks(BLOCKS - 1, BLOCKS), np.int64).view(np.uint64)
+#: Fingerprints that one task of the search is meant to hold, and those from which it isn't made.
+DEALT, FULL = 200_000, 1 << 21
 #: Members of a bucket that are compared with as many others in one group, and those that a task is meant to hold.
 BLOCK, TASK = 1000, 4000
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set's bands."""
-    least = np.full(BANDS * WIDTH, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(hashes), TOGETHER):
-        least = np.minimum(least, np.multiply.outer(HASHES, hashes[i : i + TOGETHER]).min(1))
-    return ((least ^ least >> np.uint64(29)) * KEYS).reshape(BANDS, WIDTH).sum(1, dtype=np.uint64).view(np.int64)
+#: Comparisons with middle members, for a link each, beyond which no further round is made.
+JOINS = 10
+
+
+def prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The fingerprints of each set of hashes; none of an empty one."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), MORE), np.uint64)
+    for begin, end, some in ((0, PRINTS, np.flatnonzero(sizes)), (PRINTS, MORE, np.flatnonzero((sizes > 0) & (sizes <= FEW)))):
+        if len(some):
+            flat, ends = np.concatenate([sets[i] for i in some]), np.cumsum(sizes[some])[:-1]
+            for t in range(begin, end):
+                mixed = flat * MIX[t, 0]
+                mixed ^= mixed >> np.uint64(32)
+                mixed *= MIX[t, 1]
+                mixed ^= mixed >> np.uint64(32)
+                out[some, t] = majority(np.split(mixed, ends))
+    return [row[: 0 if not n else MORE if n <= FEW else PRINTS] for row, n in zip(out, sizes)]
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(_k1, _k2, doc_id, set, z, bands): a digest of each row's shingle set, its size, the keys of its bands."""
+    """(_k1, _k2, doc_id, set, z, prints): a digest of each row's shingle set, its size, its fingerprints (64 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in batch.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            cols = [*(batch.column(c) for c in (*KEY, "doc_id")), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "doc_id", "set", "z", "bands"])
+            cols = [*(batch.column(c) for c in (*KEY, "doc_id")), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([p.tobytes() for p in prints(sets)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "doc_id", "set", "z", "prints"])
 
-    return rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, set binary, z int, bands array<long>")
+    return rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, set binary, z int, prints binary")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -119,21 +136,80 @@ def spanning(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def gathered(classes: DataFrame) -> DataFrame:
+    """(key, h): the classes, by a hash of their sets, that linked fingerprints bring together under each key."""
+    n = classes.count()
+    parts = max(1, n // DEALT)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = pc.binary_length(batch.column("prints")).to_numpy().astype(np.int64) // 8
+            fps = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64)
+            table = np.arange(len(fps)) - np.repeat(np.cumsum(many) - many, many)
+            h = np.repeat(batch.column("h").to_numpy(), many)
+            for i, mask in enumerate(MASKS):
+                part = ((fps & mask) * MIX[i, 0] >> np.uint64(32)) % np.uint64(parts)
+                bucket = (table * BLOCKS + i) * parts + part.astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(order)]))
+                cols = [pa.array(bucket[order][at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (fps[order], h[order]))]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "fps", "hs"])
+
+    dealt = classes.select(F.xxhash64("set").alias("h"), "prints").mapInArrow(deal, "bucket long, fps binary, hs binary")
+    full: set[int] = set()
+    if n >= FULL:
+        sizes = dealt.groupBy("bucket").agg(F.sum(F.length("hs") / 8).alias("n"))
+        full = {r["bucket"] for r in sizes.where(F.col("n") >= FULL).collect()}
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        fps, h = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("fps", np.uint64), ("hs", np.int64)))
+        of = bucket // parts
+        key = fps & MASKS[of % BLOCKS]
+        if bucket in full:
+            first = key
+        else:
+            rows, roots = joined(np.zeros(len(fps), np.int8), key, fps, RADIUS)
+            own = np.unique(roots)
+            first, h = fps[np.concatenate([roots, own])], h[np.concatenate([rows, own])]
+        return pa.table({"of": pa.array(np.full(len(h), of), pa.int64()), "first": first.view(np.int64), "h": h})
+
+    salt = F.when(F.col("bucket").isin(full), F.xxhash64("hs")).otherwise(F.lit(0)) if full else F.lit(0).cast("long")
+    found = dealt.withColumn("salt", salt).groupBy("bucket", "salt").applyInArrow(run, "of long, first long, h long")
+    return found.select(F.xxhash64("of", "first").alias("key"), "h")
+
+
 def buckets_of(classes: DataFrame) -> DataFrame:
-    """(key, c, z, least, zl): the members of the buckets, each beside its bucket's least member."""
-    dealt = classes.select(F.col("set").alias("c"), "z", F.explode("bands").alias("key"))
-    many = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
-    members = cut(spread_join(dealt, many, ["key"]).distinct(), "members")
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("c", "z")).alias("l"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("c")).alias("all"))
+    """(key, c, z, least, zl, wl): the members of the buckets, each beside its bucket's middle one, that in the most and largest buckets."""
+    known = small(classes.select(F.xxhash64("set").alias("h"), F.col("set").alias("c"), "z"))
+    met = cut(gathered(classes).join(known, "h").select("key", "c", "z"), "met")
+    counts = cut(met.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    weights = cut(spread_join(met, counts.withColumn("w", -F.col("_n")), ["key"]).groupBy("c").agg(F.sum("w").alias("w")), "weights")
+    members = cut(met.join(small(weights), "c"), "members")
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("w", "c", "z")).alias("l"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("c")).alias("all"))
     once = same.where("_n > 1").groupBy("_n", "l", "most", "all").agg(F.min("key").alias("key"))
-    once = cut(once.select("key", F.col("l.c").alias("least"), F.col("l.z").alias("zl"), "_n"), "once")
-    return cut(spread_join(members, once, ["key"]), "beside")
+    once = cut(once.select("key", F.col("l.c").alias("least"), F.col("l.z").alias("zl"), F.col("l.w").alias("wl"), "_n"), "once")
+    return cut(spread_join(members.drop("w"), once, ["key"]), "beside")
 
 
-def stars(beside: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): members that link to their bucket's least one."""
+def pairs_of(beside: DataFrame) -> DataFrame:
+    """(c, least, wl): each member beside the middle one of each of its buckets, if their sizes allow a link."""
     near = (F.col("c") != F.col("least")) & (F.least("z", "zl") >= THRESHOLD * F.greatest("z", "zl") - 1e-9)
-    pairs = cut(beside.where(near).select("c", "least").distinct(), "pairs")
+    return cut(beside.where(near).select("c", "least", "wl").distinct(), "pairs")
+
+
+def apart(pairs: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that aren't among the first ones, of members that the roots don't join yet."""
+    others = pairs.join(small(first.withColumnRenamed("least", "one")), "c").where("least <> one").drop("one")
+    others = others.join(small(roots.withColumnsRenamed({"node": "c", "root": "rc"})), "c", "left").withColumn("rc", F.coalesce("rc", "c"))
+    middles = pairs.groupBy("least").agg(F.count(F.lit(1)).alias("_n")).join(small(roots.withColumnsRenamed({"node": "least", "root": "rl"})), "least", "left")
+    middles = cut(middles.withColumn("rl", F.coalesce("rl", "least")), "rooted")
+    return cut(spread_join(others, middles, ["least"]).where("rc <> rl").select("c", "least", "wl"), "apart")
+
+
+def stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs that link."""
     # Sets grow with the texts: they meet by shuffle, and only the ids of the pairs are broadcast.
     held = small(cut(pairs.groupBy("least").agg(F.count(F.lit(1)).alias("_n")), "held"))
     middle = cut(sets.withColumnsRenamed({"c": "least", "s": "s2"}).join(held, "least"), "middles")
@@ -145,11 +221,11 @@ def stars(beside: DataFrame, sets: DataFrame) -> DataFrame:
 
 def leftovers(beside: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, u, m, c): the groups in which members of buckets that aren't one component yet are compared."""
-    rooted = beside.select("key", "c", "least").join(small(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    apart = rooted.groupBy("key").agg(F.min(F.struct("c", "root")).alias("l"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("_n"))
-    # Two members have been compared already.
-    apart = cut(apart.where("low <> high AND _n > 2").select("key", F.col("l.root").alias("own"), "_n"), "apart")
-    rows = cut(spread_join(rooted, apart, ["key"]).where("c <> least").select("key", "c", (F.col("root") != F.col("own")).alias("out")), "leftovers")
+    rooted = beside.select("key", "c", "least", "z").join(small(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    apart = rooted.groupBy("key").agg(F.min(F.struct((F.col("c") != F.col("least")).alias("other"), "root")).alias("l"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("z").alias("zl"), F.max("z").alias("zh"), F.count(F.lit(1)).alias("_n"))
+    # Two members of sizes too different for a link need no comparison.
+    apart = cut(apart.where("low <> high").where((F.col("_n") > 2) | (F.col("zl") >= THRESHOLD * F.col("zh") - 1e-9)).select("key", F.col("l.root").alias("own"), "_n"), "apart")
+    rows = cut(spread_join(rooted, apart, ["key"]).select("key", "c", (F.col("root") != F.col("own")).alias("out")), "leftovers")
     split = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = rows.groupBy("key").agg(split(F.sum(F.col("out").cast("int"))).alias("us"), split(F.count(F.lit(1))).alias("ms"), F.count(F.lit(1)).alias("_n"))
     rows = spread_join(rows, cut(sizes, "sizes"), ["key"])
@@ -185,13 +261,22 @@ def compared(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) for the linked ones among the classes (set, z, bands, best); rows: _k1, _k2, text."""
+    """(node, root) for the linked ones among the classes (set, z, prints, best); rows: _k1, _k2, text."""
     beside = buckets_of(classes)
     some = beside.select(F.col("c").alias("set")).distinct().join(classes, "set").select(F.col("set").alias("c"), *(F.col(f"best.{k}").alias(k) for k in KEY), F.col("size").alias("_n"), (F.col("size") == 1).alias("one"))
     met = cut(shingle_sets(spread_join(rows, cut(some, "candidates"), KEY)), "sets")
     # Tasks that met rows of one id and text may each have given their class's set.
     sets = met.where("one").select("c", "s").unionByName(met.where("NOT one").groupBy("c").agg(F.first("s").alias("s")))
-    roots = components(stars(beside, sets))
+    # Each round compares a member once. What the rounds leave, or join little of, is compared within the buckets.
+    pairs, roots = pairs_of(beside), None
+    while True:
+        first = cut(pairs.groupBy("c").agg(F.min(F.struct("wl", "least")).alias("l")).select("c", F.col("l.least").alias("least")), "first")
+        new = cut(stars(first, sets), "near")
+        edges = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = cut(components(edges), "joined")
+        if new.count() * JOINS <= first.count():
+            break
+        pairs = apart(pairs, first, roots)
     more = compared(leftovers(beside, roots), sets)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
@@ -205,7 +290,7 @@ def decided(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = cut(sketches(rows), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", *KEY)).alias("best")
-    classes = cut(known.groupBy("set").agg(F.first("z").alias("z"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("size"), first), "classes")
+    classes = cut(known.groupBy("set").agg(F.first("z").alias("z"), F.first("prints").alias("prints"), F.count(F.lit(1)).alias("size"), first), "classes")
     roots = links(classes, rows.select(*KEY, "text"))
     roots = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "set"), "roots")
     touched = cut(classes.join(small(roots), "set", "left").where("size > 1 OR root IS NOT NULL").select("set", F.coalesce("root", "set").alias("root"), "best", F.col("size").alias("_n")), "touched")

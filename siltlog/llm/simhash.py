@@ -159,17 +159,17 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def spanning(choice: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links among fingerprints of equal choice and key."""
+def joined(choice: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that the links among fingerprints of equal choice and key join to another, and for each the one row of its set."""
     order = np.lexsort((gray_rank(fps), key, choice))
     choice, key, fps = choice[order], key[order], fps[order]
     new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])]) if len(fps) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     many = np.bincount(group, minlength=1)[group] > 1
-    fps, group = fps[many], group[many]
+    order, fps, group = order[many], fps[many], group[many]
     n = len(fps)
     if not n:
-        return fps, fps
+        return order, order
     index = Forest(fps, group)
     size = np.bincount(group)[group]
     label = unite(np.arange(n), *index.tight(radius))
@@ -178,7 +178,13 @@ def spanning(choice: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int =
         if len(index.levels) > 1:
             label = unite(label, *index.search(some, radius))
     moved = np.flatnonzero(label != np.arange(n))
-    return fps[moved], fps[label[moved]]
+    return order[moved], order[label[moved]]
+
+
+def spanning(choice: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links among fingerprints of equal choice and key."""
+    a, b = joined(choice, key, fps, radius)
+    return fps[a], fps[b]
 
 
 def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from siltlog.llm import common, near_copies, quality, secrets
+from siltlog.llm import common, near_copies, quality, secrets, simhash
 
 DIR = "/root/testdata/sf0.001"
 
@@ -137,3 +137,71 @@ def test_null_and_repeated_ids_lose_no_clean_rows(spark):
     assert [t for t in texts if t in clean] == sorted(clean)
     left = corpus_pipeline.decontaminated(spark, near_copies_table(spark, rows), DIR)
     assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in rows if t in clean)
+
+
+def test_near_copies_have_simhash_fingerprints(spark):
+    """Against a loop over bits: the majority of the five-word shingles' mixed hashes."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(n)) for k, n in enumerate((1, 4, 5, 8, 84, 85, 300))] + ["", None, "A b  c d e a B c d e"]
+    got = {r["doc_id"]: r["prints"] for r in near_copies.sketches(near_copies_table_of(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        hashes = {int(h) for h in simhash.shingle_hashes(text, 5)}
+        n = 0 if not hashes else near_copies.MORE if len(hashes) <= near_copies.FEW else near_copies.PRINTS
+        want = []
+        for a, b in near_copies.MIX[:n].tolist():
+            mixed = []
+            for h in hashes:
+                x = h * a % 2**64
+                x = (x ^ x >> 32) * b % 2**64
+                mixed.append(x ^ x >> 32)
+            want.append(sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in mixed) > len(mixed)))
+        assert np.frombuffer(got[k], np.uint64).tolist() == want
+
+
+def near_copies_table_of(spark, texts):
+    rows = [(k, k, k, t) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "_k1 long, _k2 long, doc_id long, text string")
+
+
+@pytest.mark.parametrize("full", [1 << 21, 1])
+def test_buckets_are_links_of_fingerprints(spark, monkeypatch, full):
+    """Against all pairs of each key; a key that no task should hold is a bucket of all that have it."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (8, near_copies.PRINTS), np.uint64)
+    prints = np.repeat(base, 30, 0)
+    for row in prints:
+        for _ in range(rng.integers(0, 9)):
+            row ^= np.uint64(1) << rng.integers(0, 64, len(row)).astype(np.uint64)
+    # One block that half of the rows have, while their other bits differ.
+    prints[::2, 0] = prints[::2, 0] & ~near_copies.MASKS[0]
+    monkeypatch.setattr(near_copies, "FULL", full)
+    monkeypatch.setattr(near_copies, "DEALT", 120)
+    classes = spark.createDataFrame([(bytes([k]), row.tobytes()) for k, row in enumerate(prints)], "set binary, prints binary").withColumn("h", F.xxhash64("set"))
+    number = {r["h"]: r["set"][0] for r in classes.collect()}
+    buckets = {}
+    for r in near_copies.gathered(classes.drop("h")).collect():
+        buckets.setdefault(r["key"], []).append(number[r["h"]])
+    got = sorted(tuple(sorted(b)) for b in buckets.values() if len(b) > 1)
+    want, whole = [], []
+    for table in range(near_copies.PRINTS):
+        for mask in near_copies.MASKS:
+            fps = prints[:, table]
+            for key in np.unique(fps & mask):
+                rows = np.flatnonzero(fps & mask == key)
+                label = rows.copy()
+                for i in rows:
+                    near = rows[np.bitwise_count(fps[rows] ^ fps[i]) <= near_copies.RADIUS]
+                    label[np.isin(label, label[np.isin(rows, near)])] = label[np.isin(rows, near)].min()
+                want += [tuple(rows[label == x].tolist()) for x in np.unique(label) if (label == x).sum() > 1]
+                whole.append(tuple(rows.tolist()))
+    assert got == sorted(want if full > 1 else [b for b in whole if len(b) > 1]) and tuple(range(0, len(prints), 2)) in whole
+
+
+def test_no_pair_at_four_fifths_is_missed(spark):
+    """Texts and the same ones cut short, at 0.8 exactly: SimHash's worst case, few shingles and many."""
+    texts = []
+    for k in range(240):
+        n = (5, 10, 15, 25, 80, 200)[k % 6]
+        w = [f"p{k}w{i}" for i in range(n + 4)]
+        texts += [" ".join(w), " ".join(w[: n * 4 // 5 + 4])]
+    kept = corpus_pipeline.one_of_each(spark, near_copies_table(spark, list(enumerate(texts))), DIR)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(0, len(texts), 2))
