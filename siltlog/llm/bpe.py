@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import KEPT, fresh, slices
 
 # Fixed value: the split pattern of the byte-level vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -215,6 +215,9 @@ def loaded(content: str) -> Bpe:
     return Bpe(content)
 
 
+KEPT.append(loaded.cache_clear)
+
+
 def content_of(path: str) -> str:
     """The vocabulary file, read on the driver: executors get its content and need no path."""
     with open(path, encoding="utf-8") as f:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -19,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST, HOT = 64 << 20, 1 << 18
 #: Lists that collect the paths of scratch tables, the innermost last.
 _MADE: list[list[str]] = []
+#: What empties the caches that operators keep in a Python worker from task to task.
+KEPT: list[Callable[[], None]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -68,6 +72,22 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release() -> None:
+    """Empty what operators keep in this Python worker, which Spark reuses, and give free memory back to the system."""
+    for clear in KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffles and broadcasts of ended plans now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bytes_of(df: DataFrame) -> int:
     """About the bytes that the rows of ``df`` hold in memory."""
 

@@ -22,8 +22,10 @@ equal members count once. Keys that no task should hold are buckets without a se
    by joins on the sets: a bucket of any size is spread over tasks. Rounds follow for middle ones that aren't
    in the member's component yet, while one comparison in JOINS finds a link.
 2. Where members of a bucket are still in different components, those that aren't in the middle one's
-   are compared with all, in blocks of BLOCK by BLOCK members: no task holds more. Only a spanning set of
-   links leaves a task, so that no table of pairs is made.
+   are compared with all, in blocks of about BLOCK by BLOCK members and HASHES by HASHES hashes of their sets:
+   no task holds more. Only a spanning set of links leaves a task, so that no table of pairs is made.
+
+A Python worker that Spark reuses gives up what other operators left in it, and after each step what it no longer needs.
 
 Rows are told apart by 128 hash bits of id and text: ids may be null or repeated. An empty table gives
 empty results.
@@ -40,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, slices, small, spread_join
+from .common import cut, release, row_key, slices, small, spread_join, sweep
 from .simhash import components, joined, majority, masks, shingle_hashes
 
 KEY = ["_k1", "_k2"]
@@ -51,9 +53,11 @@ MORE, FEW = 112, 80
 MIX = np.random.default_rng(42).integers(0, 1 << 63, (MORE, 2), np.uint64) << np.uint64(1) | np.uint64(1)
 MASKS = np.array(masks(BLOCKS - 1, BLOCKS), np.int64).view(np.uint64)
 #: Fingerprints that one task of the search is meant to hold, and those from which it isn't made.
-DEALT, FULL = 200_000, 1 << 21
+DEALT, FULL = 100_000, 1 << 21
 #: Members of a bucket that are compared with as many others in one group, and those that a task is meant to hold.
 BLOCK, TASK = 1000, 4000
+#: Hashes of their sets that these are meant to have at the most, and those that a task is meant to hold.
+HASHES = 500_000
 #: Comparisons with middle members, for a link each, beyond which no further round is made.
 JOINS = 10
 
@@ -78,11 +82,13 @@ def sketches(rows: DataFrame) -> DataFrame:
     """(_k1, _k2, doc_id, set, z, prints): a digest of each row's shingle set, its size, its fingerprints (64 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in batch.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             cols = [*(batch.column(c) for c in (*KEY, "doc_id")), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([p.tobytes() for p in prints(sets)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "doc_id", "set", "z", "prints"])
+        release()
 
     return rows.mapInArrow(run, "_k1 long, _k2 long, doc_id long, set binary, z int, prints binary")
 
@@ -91,6 +97,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     """(c, one, s): the shingle hashes of each class, from its rows (c, one, text); a task gives each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         done: set[bytes] = set()
         for batch in slices(batches):
             c, one, s = [], [], []
@@ -102,6 +109,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                     one.append(alone)
                     s.append(np.unique(shingle_hashes(text, SHINGLE)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(one, pa.bool_()), pa.array(s, pa.list_(pa.int64()))], names=["c", "one", "s"])
+        release()
 
     return rows.select("c", "one", "text").mapInArrow(run, "c binary, one boolean, s array<long>")
 
@@ -139,7 +147,7 @@ def spanning(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def gathered(classes: DataFrame) -> DataFrame:
     """(key, h): the classes, by a hash of their sets, that linked fingerprints bring together under each key."""
     n = classes.count()
-    parts = max(1, n // DEALT)
+    parts = max(1, -(-n // DEALT))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,6 +163,7 @@ def gathered(classes: DataFrame) -> DataFrame:
                 cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(order)]))
                 cols = [pa.array(bucket[order][at], pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (fps[order], h[order]))]
                 yield pa.RecordBatch.from_arrays(cols, names=["bucket", "fps", "hs"])
+        release()
 
     dealt = classes.select(F.xxhash64("set").alias("h"), "prints").mapInArrow(deal, "bucket long, fps binary, hs binary")
     full: set[int] = set()
@@ -173,6 +182,7 @@ def gathered(classes: DataFrame) -> DataFrame:
             rows, roots = joined(np.zeros(len(fps), np.int8), key, fps, RADIUS)
             own = np.unique(roots)
             first, h = fps[np.concatenate([roots, own])], h[np.concatenate([rows, own])]
+            release()
         return pa.table({"of": pa.array(np.full(len(h), of), pa.int64()), "first": first.view(np.int64), "h": h})
 
     salt = F.when(F.col("bucket").isin(full), F.xxhash64("hs")).otherwise(F.lit(0)) if full else F.lit(0).cast("long")
@@ -187,6 +197,7 @@ def buckets_of(classes: DataFrame) -> DataFrame:
     counts = cut(met.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "counts")
     weights = cut(spread_join(met, counts.withColumn("w", -F.col("_n")), ["key"]).groupBy("c").agg(F.sum("w").alias("w")), "weights")
     members = cut(met.join(small(weights), "c"), "members")
+    sweep(classes.sparkSession)  # of the fingerprints' shuffle, by far the largest, which Spark's listeners have let go by now
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("w", "c", "z")).alias("l"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("c")).alias("all"))
     once = same.where("_n > 1").groupBy("_n", "l", "most", "all").agg(F.min("key").alias("key"))
     once = cut(once.select("key", F.col("l.c").alias("least"), F.col("l.z").alias("zl"), F.col("l.w").alias("wl"), "_n"), "once")
@@ -220,24 +231,26 @@ def stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def leftovers(beside: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, u, m, c): the groups in which members of buckets that aren't one component yet are compared."""
+    """(key, u, m, c, z): the groups in which members of buckets that aren't one component yet are compared."""
     rooted = beside.select("key", "c", "least", "z").join(small(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     apart = rooted.groupBy("key").agg(F.min(F.struct((F.col("c") != F.col("least")).alias("other"), "root")).alias("l"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("z").alias("zl"), F.max("z").alias("zh"), F.count(F.lit(1)).alias("_n"))
     # Two members of sizes too different for a link need no comparison.
     apart = cut(apart.where("low <> high").where((F.col("_n") > 2) | (F.col("zl") >= THRESHOLD * F.col("zh") - 1e-9)).select("key", F.col("l.root").alias("own"), "_n"), "apart")
-    rows = cut(spread_join(rooted, apart, ["key"]).select("key", "c", (F.col("root") != F.col("own")).alias("out")), "leftovers")
-    split = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = rows.groupBy("key").agg(split(F.sum(F.col("out").cast("int"))).alias("us"), split(F.count(F.lit(1))).alias("ms"), F.count(F.lit(1)).alias("_n"))
+    rows = cut(spread_join(rooted, apart, ["key"]).select("key", "c", "z", (F.col("root") != F.col("own")).alias("out")), "leftovers")
+    split = lambda some: F.greatest(F.ceil(F.count(some) / BLOCK), F.ceil(F.sum(F.when(some, F.col("z").cast("long"))) / HASHES)).cast("int")
+    out = F.when(F.col("out"), True)
+    sizes = rows.groupBy("key").agg(split(out).alias("us"), split(F.lit(True)).alias("ms"), F.count(F.lit(1)).alias("_n"))
     rows = spread_join(rows, cut(sizes, "sizes"), ["key"])
     part = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = rows.where("out").select("key", part("us").alias("u"), every("ms").alias("m"), "c")
-    return cut(outer.unionByName(rows.select("key", every("us").alias("u"), part("ms").alias("m"), "c")).distinct(), "blocks")
+    outer = rows.where("out").select("key", part("us").alias("u"), every("ms").alias("m"), "c", "z")
+    return cut(outer.unionByName(rows.select("key", every("us").alias("u"), part("ms").alias("m"), "c", "z")).distinct(), "blocks")
 
 
 def compared(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): a spanning set of the links within each group."""
-    tasks = max(1, blocks.count() // TASK)
+    many = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("z").cast("long")), F.lit(0)).alias("z")).first()
+    tasks = max(1, -(-many["n"] // TASK), -(-many["z"] // HASHES))
 
     def run(group: pa.Table) -> pa.Table:
         keys = [group.column(k).to_numpy() for k in ("m", "u", "key")]
@@ -254,9 +267,12 @@ def compared(blocks: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = spanning(flat[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j])
                 a.append(x + i)
                 b.append(y + i)
-        return pa.table({"a": c.take(pa.array(np.concatenate(a))), "b": c.take(pa.array(np.concatenate(b)))})
+        found = pa.table({"a": c.take(pa.array(np.concatenate(a))), "b": c.take(pa.array(np.concatenate(b)))})
+        del group, c, s, flat
+        release()
+        return found
 
-    held = sets.join(small(blocks), "c").withColumn("task", F.pmod(F.xxhash64("key", "u", "m"), F.lit(tasks)))
+    held = sets.join(small(blocks.drop("z")), "c").withColumn("task", F.pmod(F.xxhash64("key", "u", "m"), F.lit(tasks)))
     return held.groupBy("task").applyInArrow(run, "a binary, b binary")
 
 
@@ -277,6 +293,7 @@ def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
         if new.count() * JOINS <= first.count():
             break
         pairs = apart(pairs, first, roots)
+    sweep(rows.sparkSession)
     more = compared(leftovers(beside, roots), sets)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 

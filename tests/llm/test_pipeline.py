@@ -1,12 +1,14 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from siltlog.llm import common, near_copies, quality, secrets, simhash
+from siltlog.llm import bpe, common, near_copies, quality, secrets, simhash
+from siltlog.llm.queries import vocabulary
 
 DIR = "/root/testdata/sf0.001"
 
@@ -205,3 +207,30 @@ def test_no_pair_at_four_fifths_is_missed(spark):
         texts += [" ".join(w), " ".join(w[: n * 4 // 5 + 4])]
     kept = corpus_pipeline.one_of_each(spark, near_copies_table(spark, list(enumerate(texts))), DIR)
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(0, len(texts), 2))
+
+
+def test_groups_of_long_sets_are_small(spark, monkeypatch):
+    """Members of a bucket are dealt by the hashes of their sets, and all pairs still meet."""
+    monkeypatch.setattr(near_copies, "HASHES", 500, raising=False)
+    members = [bytes([k]) for k in range(40)]
+    beside = spark.createDataFrame([(1, c, 100, members[0], 100, 0) for c in members], "key long, c binary, z int, least binary, zl int, wl long")
+    blocks = near_copies.leftovers(beside, spark.createDataFrame([], "node binary, root binary"))
+    groups = {}
+    for r in blocks.collect():
+        groups.setdefault((r["u"], r["m"]), set()).add(bytes(r["c"]))
+    assert max(100 * len(g) for g in groups.values()) <= 5 * 500
+    assert {(a, b) for g in groups.values() for a in g for b in g} == {(a, b) for a in members for b in members}
+
+
+def test_near_dedup_gives_up_what_bpe_left_in_a_worker():
+    """Spark reuses Python workers: the encoder's tables and cache add to the memory of the next stage."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    bpe.model(vocabulary()).encode_batch(["a b c"])
+    assert bpe.loaded.cache_info().currsize
+    batch = pa.RecordBatch.from_pydict({"_k1": [1], "_k2": [2], "doc_id": [3], "text": ["a b c d e f"]})
+    assert [b.num_rows for b in near_copies.sketches(Rows())(iter([batch]))] == [1]
+    assert not bpe.loaded.cache_info().currsize
