@@ -125,12 +125,12 @@ class Manifest:
 
 
 def write_run(df: DataFrame, path: str, files: int, options: Options, rows: int | None = None) -> None:
-    """Key-sorted Parquet files of disjoint key ranges. Rows of one key stay in one file.
+    """Key-sorted Parquet files of disjoint ranges of key and seq. A key of many rows is spread over files.
 
     Pages hold about ``block_bytes`` and carry checksums. Each file has a Bloom filter of its keys, sized
     by the ``rows`` of all files, or fitted by the writer to what it meets if they aren't known.
     """
-    spread = df.repartitionByRange(files, "key") if files > 1 else df.coalesce(1)
+    spread = df.repartitionByRange(files, "key", F.desc("seq")) if files > 1 else df.coalesce(1)
     out = spread.sortWithinPartitions("key", F.desc("seq")).write
     out = out.option("parquet.page.size", str(options.block_bytes)).option("parquet.page.write-checksum.enabled", "true")
     if options.bloom_fpp:
@@ -147,8 +147,16 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def runs_at(spark: SparkSession, path: str, level: int, first_id: int, unique: bool) -> list[Run]:
-    """What a folder that write_run() filled holds: one run for each file that has rows."""
-    rows = spark.read.schema(MUTATIONS).parquet(path).select("*", "_metadata.file_path", "_metadata.file_size")
-    per = rows.groupBy("file_path").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("op") == "D", 1)).alias("t"), F.max("file_size").alias("s"))
-    found = sorted(per.collect(), key=lambda r: bytes(r["a"]))
-    return [Run(first_id + i, level, r["file_path"], bytes(r["a"]), bytes(r["b"]), r["n"], r["s"], r["t"], unique) for i, r in enumerate(found)]
+    """What a folder that write_run() filled holds: one run for each file that has rows.
+
+    The bounds of a file are the keys of its first and last row. Only numbers are aggregated: the least of
+    binary keys would have each task sort all of its rows.
+    """
+    rows = spark.read.schema(MUTATIONS).parquet(path).select("key", "op", "_metadata.file_path", "_metadata.file_size", F.col("_metadata.row_index").alias("at"))
+    per = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("op") == "D", 1)).alias("t"), F.max("file_size").alias("s"))
+    ends = per.select("*", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col("n") - 1))).alias("at"))
+    found = {}
+    for r in rows.select("file_path", "at", "key").join(F.broadcast(ends), ["file_path", "at"]).collect():
+        found.setdefault(r["file_path"], []).append(r)
+    files = sorted((sorted(f, key=lambda r: r["at"]) for f in found.values()), key=lambda f: (bytes(f[0]["key"]), f[0]["file_path"]))
+    return [Run(first_id + i, level, a["file_path"], bytes(a["key"]), bytes(b["key"]), a["n"], a["s"], a["t"], unique) for i, (a, *_, b) in enumerate([*f, f[-1]] for f in files)]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import functions as fn
 from . import operators as ops
 from . import plans
 from .schema import DELETE, MUTATIONS, PUT, RUNS, STAGING, UNBOUNDED, Bound, Options, Run, as_bytes, checked_key
@@ -51,13 +51,14 @@ class Store:
             return self.state.number
         base = (self.state.number + 1) << ORDINAL_BITS
         log = self.spark.createDataFrame([(bytearray(k), base + i, op, bytearray(v) if v is not None else None) for i, (k, op, v) in enumerate(rows)], MUTATIONS)
-        return self._commit_batch(log, 1)
+        return self._commit_batch(log, plans.batch_files(len(rows), sum(len(k) + len(v or b"") for k, _, v in rows), 1))
 
     def fill_from(self, df: DataFrame, ordinal: str, files: int | None = None) -> int:
         """Put the rows (key, value, ordinal) of a DataFrame as one batch.
 
         ``ordinal`` orders the batch and must be unique in it, from 0 to below 2**32. A null or
-        empty key, or a bad ordinal, fails the write; a null or empty value deletes.
+        empty key, or a bad ordinal, fails the write; a null or empty value deletes. There are more
+        than ``files`` files if the batch is too large for as many tasks to sort.
         """
         base = (self.state.number + 1) << ORDINAL_BITS
         n = F.col(ordinal).cast("long")
@@ -66,7 +67,8 @@ class Store:
         value = F.col("value").cast("binary")
         gone = F.coalesce(F.octet_length(value) == 0, F.lit(True))
         log = df.select(F.col("key").cast("binary").alias("key"), seq.alias("seq"), F.when(gone, DELETE).otherwise(PUT).alias("op"), F.when(~gone, value).alias("value"))
-        return self._commit_batch(log, files or int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        size = log.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(fn.record_bytes(F.col("key"), F.col("value")).cast("long")), F.lit(0)).alias("bytes")).first()
+        return self._commit_batch(log, plans.batch_files(size["n"], size["bytes"], files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def _commit_batch(self, log: DataFrame, files: int) -> int:
         path = f"{self.root}/runs/batch-{self.state.number + 1:020d}-{self._tag()}"
@@ -172,9 +174,8 @@ class Store:
         met = {*plans.met(old, [r for r in rest if r.level != STAGING])}
         if bottom and not met:
             merged = merged.where(F.col("op") == PUT)
-        files = max(1, math.ceil(sum(r.bytes for r in old) / self.options.target_run_bytes))
         path = f"{self.root}/runs/{note}-{self.state.number + 1:020d}-{self._tag()}"
-        write_run(merged, path, files, self.options, sum(r.n_rows for r in old))
+        write_run(merged, path, plans.run_files(old, self.options), self.options, sum(r.n_rows for r in old))
         new = runs_at(self.spark, path, level, self.state.next_run, True)
         return self._commit(rest + new, len(new), note)
 

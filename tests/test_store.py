@@ -246,3 +246,37 @@ def test_a_damaged_manifest_is_refused(spark, root):
     __import__("os").path.exists(c := file.rsplit("/", 1)[0] + f"/.{1:020d}.json.crc") and __import__("os").remove(c)
     with pytest.raises(ValueError, match="checksum"):
         Store(spark, root)
+
+
+def test_no_task_sorts_more_of_a_batch_as_it_grows(spark, root, monkeypatch):
+    """Files grow in number with the batch, also where one key holds half of it; so do those of a merge."""
+    monkeypatch.setattr(plans, "SORT_BYTES", 1 << 14, raising=False)
+    key = F.when(F.col("id") % 2 == 0, F.lit("000500")).otherwise(F.lpad(F.col("id").cast("string"), 6, "0"))
+    rows = spark.range(6000).select(key.alias("key"), F.col("id").cast("string").alias("value"), "id")
+    store = Store(spark, root, Options(auto=False))
+    store.fill_from(rows, "id", files=2)
+    want = sorted([(b"000500", b"5998"), *((f"{i:06d}".encode(), str(i).encode()) for i in range(1, 6000, 2))])
+    assert sum(r.n_rows for r in store.state.runs) == 6000 and max(r.n_rows for r in store.state.runs) < 600
+    assert pairs(store) == want
+    store.flush()
+    assert sum(r.n_rows for r in store.state.runs) == 3001 and max(r.n_rows for r in store.state.runs) < 2500
+    assert plans.settled(list(store.state.runs)) and pairs(store) == want and store.get("000500") == b"5998"
+    before = len(store.state.runs)
+    store.fill([(f"{i:06d}", "x" * 100) for i in range(500)])
+    assert len(store.state.runs) > before + 2 and store.get("000499") == b"x" * 100
+
+
+def test_bounds_of_runs_without_a_sort(spark, root, monkeypatch):
+    plans_of, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (plans_of.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    store = Store(spark, root, small())
+    store.fill_from(spark.range(900).select(F.expr("if(id = 0, X'FF', unhex(lpad(hex(id % 300), 4, '0')))").alias("key"), F.expr("if(id % 3 = 0, null, 'v')").alias("value"), "id"), "id", files=3)
+    store.put("one", "row")
+    monkeypatch.undo()
+    assert plans_of and not any("SortAggregate" in p or "Sort " in p for p in plans_of)
+    assert [r.run_id for r in store.state.runs] == list(range(1, len(store.state.runs) + 1))
+    for r in store.state.runs:
+        held = spark.read.parquet(r.path).collect()
+        keys = [bytes(x["key"]) for x in held]
+        assert (r.first_key, r.last_key, r.n_rows, r.tombstones) == (min(keys), max(keys), len(held), sum(x["op"] == "D" for x in held))
